@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import evaluation, scoring, vectors
+
+QUERIES: dict = {**scoring.QUERIES, **evaluation.QUERIES, **vectors.QUERIES}
+ORACLE: dict[str, str] = {**scoring.ORACLE, **evaluation.ORACLE, **vectors.ORACLE}
