@@ -60,4 +60,21 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_license_scan, op3_packing, op4_simhash, op5_media_gif, op6_toxicity, op7_url_filter, op8_line_dedup, op9_mixing, op10_winnowing)}
-ORACLE: dict[str, str] = {}
+
+
+def _license_sql() -> str:
+    """The licence scan in DuckDB SQL, from the same catalogue of sentences and rules."""
+    known = ", ".join(f"('{form}', '{key}')" for key, forms in licences.SENTENCES.items() for form in forms)
+    rules = ", ".join(f"('{licence}', '>{'>'.join(sequence)}>')" for licence, sequence in licences.RULES)
+    lower = "translate(sentence, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    marked = r"regexp_replace(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(1), 'g'), '\s*\n\s*', chr(1), 'g')"
+    return rf"""WITH known AS (SELECT * FROM (VALUES {known}) t(form, id)), rules AS (SELECT * FROM (VALUES {rules}) t(licence, chain)),
+cut AS (SELECT doc_id, regexp_split_to_array({marked}, chr(1)) AS parts FROM documents),
+spread AS (SELECT doc_id, unnest(range(1, len(parts) + 1)) AS pos, unnest(parts) AS sentence FROM cut),
+found AS (SELECT s.doc_id, s.pos, k.id FROM spread s JOIN known k ON trim(regexp_replace(regexp_replace({lower}, '[^\p{{L}}\p{{N}}\s]+', '', 'g'), '\s+', ' ', 'g')) = k.form),
+chains AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY pos) AS ids, '>' || string_agg(id, '>' ORDER BY pos) || '>' AS chain FROM found GROUP BY doc_id),
+fits AS (SELECT c.doc_id, string_agg(DISTINCT r.licence, ',' ORDER BY r.licence) AS licences FROM chains c JOIN rules r ON contains(c.chain, r.chain) GROUP BY c.doc_id)
+SELECT d.doc_id, CAST(coalesce(c.n, 0) AS INTEGER) AS n_sentences, coalesce(c.ids, '') AS sentence_ids, coalesce(f.licences, '') AS licences FROM documents d LEFT JOIN chains c ON c.doc_id = d.doc_id LEFT JOIN fits f ON f.doc_id = d.doc_id"""
+
+
+ORACLE: dict[str, str] = {"op2_license_scan": _license_sql()}

@@ -148,6 +148,6 @@ def test_licences(spark):
     assert got[1] == (["1|mit-notice"], ["MIT"]) and got[2] == (["0|apache2-notice", "1|apache2-use"], ["Apache-2.0"])
     assert got[3] == got[4] == got[5] == ([], [])
     assert got[6][1] == ["GPL-3.0", "CC-BY-NC-4.0", "Proprietary"] and got[7] == (["0|mit-grant", "1|mit-warranty"], ["MIT"])
-    rule = {r["doc_id"]: r["rule"] for r in licences.scan(docs).select("doc_id", F.element_at("licences", 1)["rule"].alias("rule")).filter("rule is not null").collect()}
+    rule = {r["doc_id"]: r["rule"] for r in licences.scan(docs).select("doc_id", F.get("licences", F.lit(0))["rule"].alias("rule")).filter("rule is not null").collect()}
     assert licences.RULES[rule[7]][1] == ("mit-grant", "mit-warranty")
     assert licences.scan(docs.limit(0)).count() == 0
