@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 import operator
-import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,14 +29,41 @@ BITS, DIM, EPOCHS, RATE = 18, 16, 6, 0.5
 NGRAMS = (3, 4)
 REPEAT = 0  # the feature of a word that repeats the one before it
 THRESHOLD = 0.7
-_CACHE_LIMIT = 300_000
-
-
-def features(word: str) -> list[int]:
-    """Hashed features of a word: the word itself and its character n-grams, with ``<`` and ``>`` at its ends."""
-    mask, crc, marked = (1 << BITS) - 1, zlib.crc32, f"<{word}>"
-    grams = [marked[i : i + n] for n in NGRAMS for i in range(len(marked) - n + 1)]
-    return [1 + crc(g.encode("utf-8", "surrogatepass")) % mask for g in (marked, *grams)]
+_CACHE_LIMIT, _CELLS = 300_000, 100_000
+_BASE, _MIX = np.uint64(1_000_003), np.uint64(0x9E3779B97F4A7C15)
+
+
+def hashed(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Hashed features of words, in chunks of similar length: word numbers, feature ids, and which of them count.
+
+    A word, marked by ``<`` and ``>`` at its ends, has one feature for itself and one for each character n-gram.
+    """
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    order = np.argsort(lengths, kind="stable")
+    at = 0
+    while at < len(order):
+        rows = max(1, _CELLS // int(lengths[order[at]]))
+        part = order[at : at + rows]
+        width = int(lengths[part[-1]])
+        part = part[: max(1, _CELLS // width)]
+        at += len(part)
+        n = lengths[part]
+        width = int(n[-1])
+        flat = np.frombuffer("".join(f"<{words[i]}>" for i in part.tolist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+        inside = np.arange(width) < n[:, None]
+        c = np.zeros((len(part), width), np.uint64)
+        c[inside] = flat
+        powers = np.cumprod(np.full(width, _BASE, np.uint64))
+        keys, counts = [(c * powers).sum(axis=1, dtype=np.uint64)[:, None]], [np.ones((len(part), 1), bool)]
+        for size in NGRAMS:
+            if width >= size:
+                key = np.full((len(part), width - size + 1), size, np.uint64)
+                for i in range(size):
+                    key = key * _BASE + c[:, i : width - size + 1 + i]
+                keys.append(key)
+                counts.append(inside[:, size - 1 :])
+        ids = ((np.concatenate(keys, axis=1) * _MIX) >> np.uint64(64 - BITS)).astype(np.int32)
+        yield part, np.maximum(ids, 1), np.concatenate(counts, axis=1)
 
 
 def _repeats(words: list[str]) -> int:
@@ -45,21 +72,19 @@ def _repeats(words: list[str]) -> int:
 
 def train(rows: list[tuple[str, int]], seed: int = 7) -> tuple[np.ndarray, float]:
     """Per-feature scores and the intercept of the log-odds of class 1, from (text, label) rows."""
+    bags = [text.split() for text, _ in rows]
+    words = sorted(set().union(*bags))
     known: dict[str, np.ndarray] = {}
+    for part, ids, counts in hashed(words):
+        known.update((words[i], f[c]) for i, f, c in zip(part.tolist(), ids, counts))
     docs = []
-    for text, y in rows:
-        words = text.split()
-        parts = []
-        for w in words:
-            f = known.get(w)
-            if f is None:
-                f = known[w] = np.array(features(w), np.int32)
-            parts.append(f)
-        again = _repeats(words)
-        if not parts:
+    for bag, (_, y) in zip(bags, rows):
+        if not bag:
             continue
-        ids = np.concatenate([*parts, np.zeros(again, np.int32)])
-        weights = np.concatenate([np.repeat(1 / np.array([len(p) for p in parts]), [len(p) for p in parts]), np.ones(again)]) / (len(words) + again)
+        parts, again = [known[w] for w in bag], _repeats(bag)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        ids = np.concatenate([*parts, np.full(again, REPEAT, np.int32)])
+        weights = np.concatenate([np.repeat(1 / sizes, sizes), np.ones(again)]) / (len(bag) + again)
         unique, inverse = np.unique(ids, return_inverse=True)
         docs.append((unique, np.bincount(inverse, weights).astype(np.float32)[:, None], y))
     rng = np.random.default_rng(seed)
@@ -85,19 +110,13 @@ def train(rows: list[tuple[str, int]], seed: int = 7) -> tuple[np.ndarray, float
     return (vectors @ odds).astype(np.float32), float(bias[1] - bias[0])
 
 
-class WordScores(dict):
-    """word -> mean score of its features, filled as words are met and emptied when it grows too large."""
-
-    def __init__(self, scores: np.ndarray):
-        super().__init__()
-        self.scores = scores
-
-    def __missing__(self, word: str) -> float:
-        if len(self) >= _CACHE_LIMIT:
-            self.clear()
-        f = features(word)
-        self[word] = value = float(self.scores[f].mean())
-        return value
+def word_scores(words: list[str], scores: np.ndarray) -> dict[str, float]:
+    """Mean score of each word's features."""
+    out = {}
+    for part, ids, counts in hashed(words):
+        means = np.where(counts, scores[ids], 0).sum(axis=1, dtype=np.float64) / counts.sum(axis=1)
+        out.update(zip(map(words.__getitem__, part.tolist()), means.tolist()))
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, exclude: Column, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text"):
@@ -116,13 +135,19 @@ def score_column(model, text_col: str = "text") -> Column:
 
     @F.pandas_udf("double")
     def quality(texts: pd.Series) -> pd.Series:
-        known = WordScores(scores)
-        get, repeat, out = known.__getitem__, float(scores[REPEAT]), []
-        for text in texts:
-            words = text.split() if text else ()
-            again = _repeats(words) if words else 0
-            x = intercept + (sum(map(get, words)) + again * repeat) / max(1, len(words) + again)
-            out.append(1 / (1 + math.exp(-max(-700.0, min(700.0, x)))))
+        known: dict[str, float] = {}
+        repeat, out = float(scores[REPEAT]), []
+        for at in range(0, len(texts), 64):
+            bags = [text.split() if text else [] for text in texts.iloc[at : at + 64]]
+            new = set().union(*bags).difference(known)
+            if len(known) + len(new) > _CACHE_LIMIT:
+                known.clear()
+                new = set().union(*bags)
+            known.update(word_scores(list(new), scores))
+            for words in bags:
+                again = _repeats(words)
+                x = intercept + (sum(map(known.__getitem__, words)) + again * repeat) / max(1, len(words) + again)
+                out.append(1 / (1 + math.exp(-max(-700.0, min(700.0, x)))))
         return pd.Series(out, dtype="float64")
 
     return quality(F.col(text_col))
