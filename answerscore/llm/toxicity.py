@@ -121,16 +121,21 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
 
 def decide(words: list[str], table: np.ndarray) -> np.ndarray:
     """Value of the linear machine ``table`` over unit phi for each word (0 for words shorter than a triple)."""
-    c = _classes(words)
-    top, square = np.zeros(len(words)), np.zeros(len(words))
-    for a, b in _GAPS:
-        if c.shape[1] <= b:
-            continue
-        x, y, z = c[:, : c.shape[1] - b], c[:, a : c.shape[1] - b + a], c[:, b:]
-        w = DECAY ** (b + 1)
-        top += w * np.where(z > 0, table[(x * CLASSES + y) * CLASSES + z], 0).sum(axis=1)
-        square += w * w * (z > 0).sum(axis=1)
-    value = top / np.sqrt(np.maximum(square, 1e-12))
+    value = np.zeros(len(words))
+    order = np.argsort(np.fromiter(map(len, words), np.int64, len(words)), kind="stable")
+    for at in range(0, len(order), 2000):  # words of like length, so that little is padded
+        part = order[at : at + 2000]
+        c = _classes([words[i] for i in part.tolist()])
+        top, square = np.zeros(len(part)), np.zeros(len(part))
+        for a, b in _GAPS:
+            if c.shape[1] <= b:
+                continue
+            z = c[:, b:]
+            w = DECAY ** (b + 1)
+            place = (c[:, : c.shape[1] - b] * CLASSES + c[:, a : c.shape[1] - b + a]) * CLASSES + z
+            top += w * np.where(z > 0, table[place], 0).sum(axis=1)
+            square += w * w * (z > 0).sum(axis=1)
+        value[part] = top / np.sqrt(np.maximum(square, 1e-12))
     high = np.flatnonzero(value > 0)  # words with repeated triples have a longer phi than assumed above
     if len(high):
         row, col, weight = unit_triples([words[i] for i in high])
@@ -247,8 +252,7 @@ def score_column(model, text_col: str = "text") -> Column:
             if len(known) + len(new) > _CACHE_LIMIT:
                 known.clear()
                 new = list(set().union(*bags))
-            for i in range(0, len(new), 20000):
-                known.update(zip(new[i : i + 20000], decide(new[i : i + 20000], table).tolist()))
+            known.update(zip(new, decide(new, table).tolist()))
             top = np.array([max(map(known.__getitem__, bag), default=0.0) for bag in bags])
             out[at : at + len(bags)] = 1 / (1 + np.exp(-np.clip(slope * top + shift, -700, 700)))
         return pd.Series(out)
