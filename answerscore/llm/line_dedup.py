@@ -40,9 +40,13 @@ def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def _rank(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Add ``rank`` (first position of the interval) to the rows whose keys at least two rows share."""
+    """Add ``rank`` (first position of the interval) to the rows whose keys at least two rows share.
+
+    The ranks are written first: then both sides of the join are plain shuffles, and adaptive execution can split
+    the partition of a very common line, which it cannot below an aggregation that keeps its partitioning.
+    """
     shared = rows.groupBy(*keys).agg(F.min("ord").alias("rank"), F.count("*").alias("__n")).filter("__n > 1").drop("__n")
-    return rows.join(shared, keys)
+    return rows.join(materialise(shared, "intervals"), keys)
 
 
 def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
