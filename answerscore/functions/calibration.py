@@ -64,6 +64,11 @@ def fixture_count(margin: Column, floor: float = 0.010046, span: float = 0.98, c
     return (margin - floor) / span * cases
 
 
+def proxy_estimate(rho: Column, offset: float = 0.062) -> Column:
+    """What a rank agreement with the proxy stands for on the real corpus: less by a fixed offset."""
+    return rho - offset
+
+
 def calibrated(raw: Column, config: Config, ties: dict[int, Column] | None = None, r: Column | None = None) -> Column:
     """The last step of a score: threshold with tie-break, logistic curve, or contrast, as the config says."""
     raw = clamp01(raw)

@@ -86,3 +86,18 @@ def head_to_head(candidate: DataFrame, baselines: DataFrame) -> DataFrame:
     """(module, not_worse): the candidate's one row of metrics against each baseline row, in margin and in wins."""
     c = candidate.select(F.col("candidate_margin").alias("__m"), F.col("wins").alias("__w"))
     return baselines.crossJoin(F.broadcast(c)).select("module", ((F.col("__m") >= F.col("candidate_margin")) & (F.col("__w") >= F.col("wins"))).alias("not_worse"))
+
+
+def failures(checks: DataFrame, candidate: str) -> DataFrame:
+    """(module, failed, counts): failed checks per module; only the candidate's decide whether a run has failed."""
+    failed = checks.groupBy("module").agg(F.count_if(~F.col("ok")).alias("failed"))
+    return failed.select("module", "failed", (F.col("module") == candidate).alias("counts"))
+
+
+def answer_corpus(questions: DataFrame, models: DataFrame, silent: str = "silent") -> DataFrame:
+    """(q, gt, model, a): every question for every model, and one model that answers nothing.
+
+    ``models`` is a short list and is broadcast; answers are to be filled in, those of the silent model are empty.
+    """
+    asked = questions.select("q", "gt").crossJoin(F.broadcast(models.select("model"))).withColumn("a", F.lit(None).cast("string"))
+    return asked.unionByName(questions.select("q", "gt", F.lit(silent).alias("model"), F.lit("").alias("a")))

@@ -63,6 +63,13 @@ def summary(df: DataFrame, column: str, groups: list[str] | None = None) -> Data
     return df.groupBy(*(groups or [])).agg(F.min(c).alias("low"), F.max(c).alias("high"), F.avg(c).alias("mean"), F.coalesce(F.stddev_pop(c), F.lit(0.0)).alias("spread"))
 
 
+def offline_report(scored: DataFrame) -> DataFrame:
+    """One row on a scored set (score, good 0/1): both classes' ranges, margin, best hard step, 32-bit ties."""
+    sides = [f(F.when(F.col("good") == g, F.col("score"))).alias(n + k) for g, k in ((1, "good"), (0, "bad")) for f, n in ((F.min, "low_"), (F.max, "high_"), (F.avg, "mean_"))]
+    one = scored.agg(*sides).withColumn("margin", F.col("mean_good") - F.col("mean_bad"))
+    return one.crossJoin(F.broadcast(best_step(roc(scored)))).crossJoin(F.broadcast(float_ties(scored, "score")))
+
+
 def weight_grid(spark: SparkSession, axes: dict[str, list[float]]) -> DataFrame:
     """(point, one column per weight): the product of the lists in order, without the point of only zeros."""
     grid = spark.createDataFrame([(0,)], "point int")

@@ -203,6 +203,24 @@ def step_tiebreak(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.step_grid(_labelled(spark, sf_dir), points).select("cut", "b", *(F.round(c, 6).alias(c) for c in ("mean_good", "mean_bad", "margin")))
 
 
+@query(f"""{_LB}, {_ROC}, best AS (SELECT cut AS best_cut, round(margin, 6) AS best_margin FROM roc ORDER BY round(margin, 12) DESC, cut LIMIT 1),
+s AS (SELECT min(score) FILTER (good = 1) AS low_good, max(score) FILTER (good = 1) AS high_good, avg(score) FILTER (good = 1) AS mg, min(score) FILTER (good = 0) AS low_bad, max(score) FILTER (good = 0) AS high_bad, avg(score) FILTER (good = 0) AS mb,
+    count(score) AS n, count(score) - count(DISTINCT CAST(score AS FLOAT)) AS ties FROM lb)
+SELECT low_good, high_good, round(mg, 6) AS mean_good, low_bad, high_bad, round(mb, 6) AS mean_bad, round(mg - mb, 6) AS margin, best_cut, best_margin, n, ties FROM s, best""")
+def offline_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report on one scored set: ranges, margin, best step, ties."""
+    report = S.offline_report(_labelled(spark, sf_dir))
+    return report.withColumns({c: F.round(c, 6) for c in ("mean_good", "mean_bad", "margin", "best_margin")})
+
+
+@query(f"""WITH {O.scored(_ATTACK_TRIPLES)},
+wide AS (SELECT a.name, a.rule, h.score AS honest, x.score AS attack FROM attacks a JOIN final h ON h.id = a.name || '|honest' JOIN final x ON x.id = a.name || '|attack')
+SELECT 'lexical' AS module, count(*) FILTER (NOT CASE rule WHEN 'below_honest' THEN attack < honest - 0.10 WHEN 'near_zero' THEN attack <= 0.20 WHEN 'near_honest' THEN attack >= honest - 0.15 ELSE false END) AS failed, true AS counts FROM wide""")
+def attack_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failed attack checks of the candidate."""
+    return E.failures(QUERIES["attack_rules"](spark, sf_dir).withColumn("module", F.lit("lexical")), "lexical")
+
+
 _UNIT = "u AS (SELECT event_id, (x - min(x) OVER ()) / nullif(max(x) OVER () - min(x) OVER (), 0) AS v FROM ev)"
 
 
