@@ -190,7 +190,7 @@ def roc_best_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.best_step(S.roc(_labelled(spark, sf_dir))).select("best_cut", F.round("best_margin", 6).alias("best_margin"))
 
 
-@query(f"{_LB}, t AS (SELECT round(i * 0.02, 3) AS cut FROM range(1, 50) r(i)) SELECT cut, round(avg(CASE WHEN good = 1 THEN CAST(score >= cut AS DOUBLE) END) - avg(CASE WHEN good = 0 THEN CAST(score >= cut AS DOUBLE) END), 6) AS margin FROM lb, t GROUP BY cut")
+@query(f"{_LB}, t AS (SELECT CAST(round(i * 0.02, 3) AS DOUBLE) AS cut FROM range(1, 50) r(i)) SELECT cut, round(avg(CASE WHEN good = 1 THEN CAST(score >= cut AS DOUBLE) END) - avg(CASE WHEN good = 0 THEN CAST(score >= cut AS DOUBLE) END), 6) AS margin FROM lb, t GROUP BY cut")
 def roc_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.roc_at(_labelled(spark, sf_dir), S.fixed_thresholds(spark)).select("cut", F.round("margin", 6).alias("margin"))
 
