@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerscore.llm import line_dedup, mixing, packing, quality, simhash
+from answerscore.llm import line_dedup, mixing, near, packing, quality
 from answerscore.llm.common import materialise, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -32,8 +32,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group over five-word shingles."""
-    return simhash.keep_one(docs.select(*COLUMNS), shingle=5)
+    """One document of each group of SimHash candidates whose five-word shingles are confirmed as similar (0.8 or more)."""
+    return near.keep_one(docs.select(*COLUMNS), shingle=5)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
