@@ -3,8 +3,11 @@
 Rules are (host, path) pairs; a rule fits its host and all subdomains if the url's path starts with the rule's
 path, and the longest fitting rule decides.  Pages without a rule get their host's verdict: personalised
 PageRank carries trust along links from hosts with allowed pages, reversed PageRank carries distrust from hosts
-with blocked pages to the hosts that link to them; a host whose distrust exceeds its trust by ``threshold`` is
-blocked.  Seeds are the shares of a host's pages that rules allow or block, so scores do not depend on size.
+with blocked pages to the hosts that link to them; a host whose distrust exceeds its trust by ``threshold`` or more
+is blocked.  Seeds are the shares of a host's pages that rules allow or block, so scores do not depend on size.
+A wholly blocked host gives itself a distrust of 1 - damping, and one that links to such hosts only gets 0.85 of it;
+``THRESHOLD`` is half of that unit.  Rounds go on until no score moves by ``TOLERANCE``; links of a host to itself are
+solved in each round and not iterated, which leaves the scores as they are.
 
 All steps are DataFrame operations.  Edges are counted per pair of hosts before they are shuffled further; a
 relative link points to the page's own host, and a host without links keeps its score.
@@ -15,6 +18,8 @@ null html has no links; repeated rows are repeated; empty tables give empty resu
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +27,8 @@ from .common import discard, materialise
 
 #: (host, path, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-DAMPING, THRESHOLD, ROUNDS, TOLERANCE = 0.85, 0.5, 30, 1e-6
+DAMPING, TOLERANCE = 0.85, 1e-6
+THRESHOLD = 0.5 * (1 - DAMPING)
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -53,8 +59,8 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return edges.groupBy("src", F.coalesce("to", "src").alias("dst")).agg(F.count("*").alias("n")).filter("src != '' and dst != ''")
 
 
-def host_scores(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int = ROUNDS, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, trust, distrust) of every host that has a page or is linked to."""
+def host_scores(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int | None = None, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, trust, distrust) of every host that has a page or is linked to; at most ``rounds`` rounds if given."""
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     ruled = pages.select(host.alias("host"), matched_rule(host, path, rules)["verdict"].alias("v")).filter("host != ''")
     seeds = ruled.groupBy("host").agg(F.avg((F.coalesce(F.col("v"), F.lit("")) == "allow").cast("double")).alias("t0"), F.avg((F.coalesce(F.col("v"), F.lit("")) == "block").cast("double")).alias("b0"))
@@ -64,14 +70,16 @@ def host_scores(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds:
     hosts = seeds.join(edges.select(F.col("dst").alias("host")).distinct(), "host", "full_outer").select("host", F.coalesce("t0", F.lit(0.0)).alias("t0"), F.coalesce("b0", F.lit(0.0)).alias("b0"))
     lone = hosts.join(edges.select(F.col("src").alias("host")).distinct(), "host", "left_anti").select(F.col("host").alias("src"), F.col("host").alias("dst"), F.lit(1.0).alias("w"))
     edges = materialise(edges.union(lone), "edges")
-    state = materialise(hosts.select("host", "t0", "b0", F.col("t0").alias("t"), F.col("b0").alias("b")), "hosts")
-    for _ in range(rounds):
+    own = edges.filter("src = dst").select(F.col("src").alias("host"), F.col("w").alias("own"))
+    state = hosts.join(own, "host", "left").select("host", "t0", "b0", F.coalesce("own", F.lit(0.0)).alias("own"), F.col("t0").alias("t"), F.col("b0").alias("b"))
+    state, edges = materialise(state, "hosts"), edges.filter("src != dst")
+    for _ in itertools.count() if rounds is None else range(rounds):
         trust = edges.join(state.select(F.col("host").alias("src"), "t"), "src").groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("t") * F.col("w")).alias("t1"))
         distrust = edges.join(state.select(F.col("host").alias("dst"), "b"), "dst").groupBy(F.col("src").alias("host")).agg(F.sum(F.col("b") * F.col("w")).alias("b1"))
         new = state.join(trust, "host", "left").join(distrust, "host", "left")
-        t = (1 - damping) * F.col("t0") + damping * F.coalesce("t1", F.lit(0.0))
-        b = (1 - damping) * F.col("b0") + damping * F.coalesce("b1", F.lit(0.0))
-        new = materialise(new.select("host", "t0", "b0", t.alias("t"), b.alias("b"), (F.abs(t - F.col("t")) + F.abs(b - F.col("b"))).alias("step")), "hosts")
+        t = ((1 - damping) * F.col("t0") + damping * F.coalesce("t1", F.lit(0.0))) / (1 - damping * F.col("own"))
+        b = ((1 - damping) * F.col("b0") + damping * F.coalesce("b1", F.lit(0.0))) / (1 - damping * F.col("own"))
+        new = materialise(new.select("host", "t0", "b0", "own", t.alias("t"), b.alias("b"), (F.abs(t - F.col("t")) + F.abs(b - F.col("b"))).alias("step")), "hosts")
         discard(state)
         state = new
         if (state.agg(F.max("step")).first()[0] or 0.0) < TOLERANCE:
