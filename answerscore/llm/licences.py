@@ -2,7 +2,8 @@
 
 A text is cut into sentences at line ends and behind ``.``, ``!`` or ``?`` before white space; a sentence is
 normalised (A-Z lower-cased, everything but letters, digits and single spaces removed) and mapped to the
-identifier of a known licence sentence.  The identifier sequence of the text, unknown sentences skipped, is
+identifier of a known licence sentence.  A known sentence may go on over line ends that are neither behind ``.``,
+``!`` or ``?`` nor beside a blank line; it has the number of its first part.  The identifier sequence of the text, unknown sentences skipped, is
 matched against ordered rules: a rule fits where its identifiers stand in the sequence one after the other.
 Every fitting rule is reported unless an earlier (longer) rule of the same licence fits.
 
@@ -32,6 +33,15 @@ SENTENCES = {
     "mpl2-notice": ["this source code form is subject to the terms of the mozilla public license v"],
     "rights-reserved": ["all rights reserved"],
 }
+#: identifier -> whole sentences of the standard texts, of which ``SENTENCES`` has the beginning; the SQL does not have
+#: them.  ``_`` is a space that is no line end, as the parts on both sides are known sentences of their own.
+STANDARD = {
+    "mit-grant": ["permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense andor sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"],
+    "mit-warranty": ["the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"],
+    "apache2-notice": ["licensed under the apache license version 20 the license_you may not use this file except in compliance with the license"],
+    "gpl3-notice": ["this program is free software you can redistribute it andor modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
+    "gpl2-notice": ["this program is free software you can redistribute it andor modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"],
+}
 #: (licence, sequence of identifiers), in the order in which they are tried
 RULES = (
     ("MIT", ("mit-notice", "mit-grant", "mit-warranty")),
@@ -50,22 +60,32 @@ RULES = (
     ("MPL-2.0", ("mpl2-notice",)),
     ("Proprietary", ("rights-reserved",)),
 )
-BREAK = r"\s*\n\s*|(?<=[.!?])\s+"
+LIKELY = "(?i)licen[sc]e|permission|warrant|redistribut|rights"  # every known sentence has one of these
+_LINE, _END, _CUT = "\x01", "\x02", "\x03"
 
 
-def normalised(sentence: Column) -> Column:
-    lower = F.translate(sentence, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.trim(F.regexp_replace(F.regexp_replace(lower, r"[^\p{L}\p{N}\s]+", ""), r"\s+", " "))
+def normalised(text: Column) -> Column:
+    """The normalised sentences of a text, each between marks: ``_LINE`` at a line end inside a sentence, or ``_END``."""
+    out = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + _LINE + _END + _CUT, "abcdefghijklmnopqrstuvwxyz")
+    out = F.regexp_replace(F.regexp_replace(out, r"\s*\n\s*\n\s*", _END), r"\s*\n\s*", _LINE)
+    out = F.regexp_replace(out, rf"(?<=[.!?])(?:\s+|{_LINE})", _END)
+    out = F.regexp_replace(F.regexp_replace(out, rf"[^\p{{L}}\p{{N}}\s{_LINE}{_END}]+", ""), r"\s+", " ")
+    return F.regexp_replace(F.concat(F.lit(_END), out, F.lit(_END)), f" ?([{_LINE}{_END}]) ?", "$1")
 
 
-def sentence_ids(text: Column, sentences=SENTENCES) -> Column:
+def sentence_ids(text: Column, sentences=SENTENCES, standard=STANDARD) -> Column:
     """array<struct<pos, id>>: the known sentences of a text in order, with their sentence numbers."""
-    known = F.create_map(*(F.lit(x) for key, forms in sentences.items() for form in forms for x in (form, key)))
-    numbered = F.transform(F.split(F.coalesce(text, F.lit("")), BREAK), lambda x, i: F.struct(i.alias("pos"), x.alias("s")))
-    # Every known sentence has one of these words, so no other needs to be normalised.
-    likely = F.filter(numbered, lambda x: F.rlike(x["s"], F.lit("(?i)licen[sc]e|permission|warrant|redistribut|rights")))
-    found = F.transform(likely, lambda x: F.struct(x["pos"].alias("pos"), F.try_element_at(known, normalised(x["s"])).alias("id")))
-    return F.filter(found, lambda x: x["id"].isNotNull())
+    forms = [(form, key) for known in (sentences, standard) for key, listed in known.items() for form in listed]
+    known = F.create_map(*(F.lit(x) for form, key in forms for x in (form.replace("_", " "), key)))
+    one_of = "|".join(form.replace(" ", f"[ {_LINE}]").replace("_", " ") for form, _ in sorted(forms, key=lambda x: -len(x[0])))
+    marks = f"[{_LINE}{_END}]"
+    cut = F.regexp_replace(normalised(text), f"(?<={marks})({one_of})(?={marks})", f"{_CUT}$1{_CUT}")
+    parts = F.split(cut, _CUT)  # every second part is a known sentence
+    found = F.transform(parts, lambda x, i: F.struct(F.regexp_count(x, F.lit(marks)).alias("marks"), F.when(i % 2 == 1, F.try_element_at(known, F.translate(x, _LINE, " "))).alias("id")))
+    before = lambda i: F.aggregate(F.slice(found, F.lit(1), i), F.lit(0), lambda n, x: n + x["marks"])
+    numbered = F.transform(found, lambda x, i: F.struct((F.when(x["id"].isNotNull(), before(i)) - 1).alias("pos"), x["id"].alias("id")))
+    none = F.array().cast("array<struct<pos:int,id:string>>")
+    return F.when(F.rlike(text, F.lit(LIKELY)), F.filter(numbered, lambda x: x["id"].isNotNull())).otherwise(none)
 
 
 def matches(ids: Column, rules=RULES) -> Column:
