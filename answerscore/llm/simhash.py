@@ -193,6 +193,8 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == last:
             break
         last = now
+    else:
+        raise RuntimeError(f"links are not stars yet after {max_rounds} rounds")
     return links.select(F.col("b").alias("node"), F.col("a").alias("component"))
 
 
