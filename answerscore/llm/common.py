@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space of the word rule shared by the operators: a word is a run of other characters.
 SPACE = r"\x20\x09-\x0D"
+#: Bytes of text of one class that a fit may learn from.
+SAMPLE_BYTES = 16 << 20
+#: Bytes of text that a Python worker holds at once, besides the batch Spark gives it.
+SLICE_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,9 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or in local mode one of our own where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="answerscore-")
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext.getCheckpointDir()
@@ -45,6 +55,18 @@ def discard(df: DataFrame | None) -> None:
         target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
+def by_bytes(sizes: list[int | None], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """(first, end) of slices of consecutive rows that hold ``limit`` bytes at most, or one row."""
+    first = total = 0
+    for i, n in enumerate(sizes):
+        if i > first and total + (n or 0) > limit:
+            yield first, i
+            first, total = i, 0
+        total += n or 0
+    if first < len(sizes):
+        yield first, len(sizes)
+
+
 def text_of(column: str = "text") -> Column:
     """The text with null read as empty."""
     return F.coalesce(F.col(column), F.lit(""))
@@ -77,11 +99,12 @@ def range_bucket(df: DataFrame, column: str, buckets: int = 512) -> tuple[DataFr
     return df.withColumn("__bucket", bucket), "__bucket"
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, exclude: Column, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[tuple[str, int]], dict[int, int]]:
-    """Texts and labels to learn from: at most ``per_class`` rows of each class, and the class counts.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, exclude: Column, per_class: int, id_col: str = "doc_id", text_col: str = "text", class_bytes: int = SAMPLE_BYTES) -> tuple[DataFrame, dict[int, int]]:
+    """Rows ``(id, text, y)`` to learn from, and the class counts: at most ``per_class`` rows and ``class_bytes`` bytes of each class.
 
     Rows are taken in the order of a hash of the id from all labelled rows where ``exclude`` is false; only ids
-    and labels are sorted.  The sample is the one bounded part of a fit; the counts cover all labelled rows.
+    and labels are sorted.  The sample is the one bounded part of a fit; the counts cover all labelled rows.  A text
+    is taken whole or not at all, and the first of a class always.
     """
     usable = labels.select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("__y")).filter(F.col("__y").isin(0, 1) & F.col("__id").isNotNull() & ~exclude).distinct()
     counts = {int(r[0]): int(r[1]) for r in usable.groupBy("__y").count().collect()}
@@ -90,5 +113,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, exclude: Col
         part = usable.filter(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(per_class)
         picked = part if picked is None else picked.union(part)
     rows = docs.select(F.col(id_col).alias("__key"), F.col(text_col).alias("__text")).join(F.broadcast(picked), F.col("__key") == F.col("__id"))
-    found = rows.select("__id", "__text", "__y").collect()
-    return [(r[1] or "", r[2]) for r in sorted(found, key=lambda r: (r[0], r[2], r[1] or ""))], counts
+    upto = Window.partitionBy("__y").orderBy(F.xxhash64("__id"), "__id", F.xxhash64("__text")).rowsBetween(Window.unboundedPreceding, -1)  # `per_class` ids at most
+    rows = rows.withColumn("__n", F.octet_length(text_of("__text"))).withColumn("__before", F.coalesce(F.sum("__n").over(upto), F.lit(0)))
+    rows = rows.filter((F.col("__before") == 0) | (F.col("__before") + F.col("__n") <= class_bytes))
+    return rows.select(F.col("__id").alias("id"), text_of("__text").alias("text"), F.col("__y").alias("y")), counts
+
+
+def fit_in_task(rows: DataFrame, train: Callable[[list[tuple[str, int]]], tuple]) -> tuple:
+    """``train`` over all (text, label) rows in one executor task; only the model, a tuple of arrays and numbers, comes back."""
+
+    def learn(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["id", "y", "text"], kind="stable")
+        out = io.BytesIO()
+        np.savez(out, *map(np.asarray, train(list(zip(part["text"], part["y"].tolist())))))
+        return pd.DataFrame({"model": [out.getvalue()]})
+
+    found = rows.groupBy().applyInPandas(learn, "model binary").first()
+    if found is None:
+        return train([])
+    with np.load(io.BytesIO(bytes(found[0]))) as stored:
+        return tuple(x if x.ndim else x.item() for x in (stored[k] for k in stored.files))

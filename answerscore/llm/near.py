@@ -2,15 +2,24 @@
 
 * A text's set holds the XXH64 hashes (seed 42) of its shingles, as in :mod:`simhash`; texts of the same folded words
   are one node, named by a hash of the words.  Texts without words are one node without links.
-* A set of n hashes is sent to the shards of its n - ceil(4n/5) + 1 smallest hashes.  Sets of similarity 4/5 or more
-  share one of these (prefix filter), so no such pair is lost here.
-* A shard takes as candidates the pairs within ``RADIUS`` bits, by a BK-tree over 64-bit SimHashes of the sets; at
-  similarity 4/5 the mean distance is 10 bits, so 26 is more than five deviations off.
+* A set of n hashes is sent to the shards of its n - ceil(4n/5) + 2 smallest hashes, or of its ``KEYS`` smallest if
+  these are fewer.  Two sets of similarity 4/5 or more share two of the former (prefix filter); that they share none
+  of the ``KEYS`` smallest has a probability below 0.2 ** 20 = 1e-14 a pair, and two below 2e-12: each of the smallest
+  hashes of their union lies in both sets with a probability of at least 4/5.
+* A shard of more than ``SHARD_ROWS`` nodes is split by the second hash that two similar sets share, and what is too
+  large then by pairs of row blocks (:func:`simhash.row_blocks`).  So no task holds more than two blocks.
+* A shard takes as candidates the pairs within ``RADIUS`` bits, by a BK-tree over 64-bit SimHashes of the sets (shards
+  of a few nodes by all their pairs); at similarity 4/5 the mean distance is 10 bits, so 26 is more than five
+  deviations off.  At this radius a tree follows most of its edges: what keeps the search small are the shards.
 * Pairs that cannot be similar are left out: sets of sizes m and n are similar exactly if at most (m + n) / 9 hashes are
   in one of them only, and of these there are at least as many as bits in which the 512 parities of the sets differ.
-* Candidates are confirmed by their sets.  First each shard gives stars around leaders (never all pairs); then it
-  gives every candidate pair that the components of the confirmed stars do not hold already.  So the components are
-  those of all confirmed pairs, and large groups of like texts cost no pair each.
+* Candidates are confirmed by their sets.  First each node is held against one like node before it in the order of
+  (size, node), so large groups of like texts cost one pair a node; then every candidate pair that the components of
+  the confirmed pairs do not hold already.  So the components are those of all confirmed pairs.
+
+Defined results: null, empty and white-space texts are one group, exact copies another; rows of one id and different
+texts are different documents; texts of any length are read whole; ids are of any ordered type; empty tables give empty
+results; further columns of any name pass through, but for names that begin with two underscores.
 """
 
 from __future__ import annotations
@@ -22,9 +31,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialise
-from .simhash import BKTree, connected_components
+from .simhash import BKTree, connected_components, row_blocks
 
-RADIUS, STAR_RADIUS = 26, 12
+RADIUS, STAR_RADIUS = 26, 16
+KEYS, SHARD_ROWS = 20, 20_000
+_FEW = 48  # shards up to this size are searched by all their pairs
 _CHUNK = 1 << 15
 
 
@@ -60,7 +71,7 @@ def sketch(text: str | None, shingle: int) -> tuple:
     """(node, fp, parity, n, prefix) of one whole text."""
     node, hashes = shingle_set(text, shingle)
     n = len(hashes)
-    prefix = hashes[: n - -(-4 * n // 5) + 1].astype(np.int64)
+    prefix = hashes[: min(KEYS, n - -(-4 * n // 5) + 2)].astype(np.int64)
     return node, int(_simhash(hashes)), parities(hashes), n, prefix
 
 
@@ -70,55 +81,87 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 5 * both >= 4 * (len(a) + len(b) - both)
 
 
-def _shards(part: pd.DataFrame):
-    part = part.sort_values(["key", "n", "node"], kind="stable")
-    key = part["key"].to_numpy()
-    parity = np.frombuffer(b"".join(part["parity"]), np.uint64).reshape(-1, 8)
-    columns = [part["node"].to_numpy(), part["fp"].to_numpy().astype(np.uint64), parity, part["n"].to_numpy(), part["comp"].to_numpy() if "comp" in part else None]
-    cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
-    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)]):
-        if hi - lo > 1:
-            yield [None if c is None else c[lo:hi] for c in columns]
-
-
-def _possible(item: int, others: np.ndarray, parity: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """For each of ``others`` whether its set can be similar to the item's."""
-    return 9 * np.bitwise_count(parity[others] ^ parity[item]).sum(axis=1, dtype=np.int64) <= n[others] + n[item]
-
-
-def _frame(a: list, b: list) -> pd.DataFrame:
-    empty = np.zeros(0, np.int64)
-    a, b = np.concatenate([empty, *a]), np.concatenate([empty, *b])
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+class _Shards:
+    """The rows of a group of units, sorted by unit, size and node."""
+
+    def __init__(self, part: pd.DataFrame):
+        part = part.sort_values(["unit", "n", "node"], kind="stable")
+        unit = part["unit"].to_numpy()
+        self.node, self.fp, self.n = part["node"].to_numpy(), part["fp"].to_numpy().astype(np.uint64), part["n"].to_numpy()
+        self.parity = np.frombuffer(b"".join(part["parity"]), np.uint64).reshape(-1, 8)
+        self.comp = part["comp"].to_numpy() if "comp" in part else None
+        cuts = np.flatnonzero(unit[1:] != unit[:-1]) + 1
+        self.lo, self.hi = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(unit)]))
+
+    def alike(self, i: np.ndarray, j: np.ndarray, radius: int) -> np.ndarray:
+        """Which of the pairs of rows i < j of a unit can be similar."""
+        ok = np.flatnonzero((np.bitwise_count(self.fp[i] ^ self.fp[j]) <= radius) & (4 * self.n[j] <= 5 * self.n[i]) & (self.node[i] != self.node[j]))
+        i, j = i[ok], j[ok]
+        near = 9 * np.bitwise_count(self.parity[i] ^ self.parity[j]).sum(axis=1, dtype=np.int64) <= self.n[i] + self.n[j]
+        return ok[near]
+
+    def few(self):
+        """All pairs of rows of the small units, in arrays of bounded length."""
+        size = self.hi - self.lo
+        for gap in range(1, _FEW):
+            units = np.flatnonzero((size > gap) & (size <= _FEW))
+            if not len(units):
+                return
+            count = size[units] - gap
+            first = np.repeat(self.lo[units] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            yield first, first + gap
+
+    def many(self):
+        """(first, end) of the larger units."""
+        for u in np.flatnonzero(self.hi - self.lo > _FEW).tolist():
+            yield int(self.lo[u]), int(self.hi[u])
 
 
 def _stars(part: pd.DataFrame) -> pd.DataFrame:
-    """Each node with the leader of its shard that takes it; a node no leader takes leads."""
-    a, b = [], []
-    for node, fp, parity, n, _ in _shards(part):
-        left = np.arange(len(node))
+    """For each node a like node before it; a node that has none before it leads."""
+    s = _Shards(part)
+    i, j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a, b in s.few():
+        ok = s.alike(a, b, STAR_RADIUS)
+        i.append(a[ok])
+        j.append(b[ok])
+    for lo, hi in s.many():
+        left = np.arange(lo, hi)
         while len(left) > 1:
-            lead, left = left[0], left[1:]
-            taken = (np.bitwise_count(fp[left] ^ fp[lead]) <= STAR_RADIUS) & (4 * n[left] <= 5 * n[lead]) & _possible(lead, left, parity, n)
-            b.append(node[left[taken]])
-            a.append(np.full(len(b[-1]), node[lead]))
-            left = left[~taken]
-    return _frame(a, b)
+            lead, left = left[:1], left[1:]
+            taken = s.alike(np.repeat(lead, len(left)), left, STAR_RADIUS)
+            i.append(np.repeat(lead, len(taken)))
+            j.append(left[taken])
+            left = np.delete(left, taken)
+    i, j = np.concatenate(i), np.concatenate(j)
+    out = pd.DataFrame({"a": s.node[i], "b": s.node[j], "n": s.n[i]})
+    return out.sort_values(["b", "n", "a"], kind="stable").drop_duplicates("b")
 
 
 def _cross(part: pd.DataFrame) -> pd.DataFrame:
     """All candidate pairs of nodes of different components."""
-    a, b = [], []
-    for node, fp, parity, n, comp in _shards(part):
+    s = _Shards(part)
+    i, j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a, b in s.few():
+        apart = s.comp[a] != s.comp[b]
+        a, b = a[apart], b[apart]
+        ok = s.alike(a, b, RADIUS)
+        i.append(a[ok])
+        j.append(b[ok])
+    for lo, hi in s.many():
+        comp = s.comp[lo:hi]
         if (comp == comp[0]).all():
             continue
-        for item, hits in BKTree(fp).within(fp, RADIUS):
-            hits = hits[(hits > item) & (comp[hits] != comp[item]) & (4 * n[hits] <= 5 * n[item])]
-            hits = hits[_possible(item, hits, parity, n)]
+        for item, hits in BKTree(s.fp[lo:hi]).within(s.fp[lo:hi], RADIUS):
+            hits = hits[(hits > item) & (comp[hits] != comp[item])]
             if len(hits):
-                b.append(node[hits])
-                a.append(np.full(len(hits), node[item]))
-    return _frame(a, b)
+                a, b = np.full(len(hits), lo + item), lo + hits
+                ok = s.alike(a, b, RADIUS)
+                i.append(a[ok])
+                j.append(b[ok])
+    i, j = np.concatenate(i), np.concatenate(j)
+    a, b = s.node[i], s.node[j]
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, marked: DataFrame, shingle: int) -> DataFrame:
@@ -142,7 +185,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, marked: DataFrame, shingle: int
     return out
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, group_rows: int = 20_000) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(id, th, component) of every row: its id, a hash of its text, and the group of its node."""
 
     @F.pandas_udf("node long, fp long, parity binary, n long, prefix array<long>")
@@ -151,22 +194,28 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     marked = materialise(rows.select("id", "th", sketched("text").alias("s")).select("id", "th", "s.*"), "sketches")
-    keyed = marked.select("node", F.explode("prefix").alias("key"))
-    shared = Window.partitionBy("key")
-    keyed = keyed.withColumn("__least", F.min("node").over(shared)).withColumn("__most", F.max("node").over(shared)).filter("__least < __most").select("key", "node").distinct()
-    prints = marked.groupBy("node").agg(F.first("fp").alias("fp"), F.first("parity").alias("parity"), F.first("n").alias("n"))
-    shards = materialise(keyed.join(prints, "node"), "shards")
-    groups = max(1, -(-shards.count() // group_rows))
-    shards = shards.withColumn("grp", F.pmod(F.xxhash64("key"), F.lit(groups)))
+    nodes = materialise(marked.groupBy("node").agg(F.first(F.struct("fp", "parity", "n", "prefix")).alias("s")).select("node", "s.*"), "nodes")
+    keyed = nodes.select("node", F.explode("prefix").alias("key"))
+    counts = keyed.groupBy("key").agg(F.count("*").alias("all")).filter("all > 1")
+    shards = keyed.join(counts, "key").join(nodes, "node")
+    second = F.when(F.col("all") <= shard_rows, F.array(F.lit(0).cast("long"))).when(F.size("prefix") == 1, F.array("key")).otherwise(F.array_remove("prefix", F.col("key")))
+    shards = materialise(shards.select("node", "fp", "parity", "n", "key", "all", F.explode(second).alias("second")), "shards")
+    key = ["key", "second"]
+    large = shards.filter(F.col("all") > shard_rows).groupBy(*key).count().filter(F.col("count") > shard_rows)
+    units = row_blocks(shards.join(large, key, "left"), key, shard_rows)
+    units = units.select("node", "fp", "parity", "n", F.xxhash64(*key, "lo", "hi").alias("unit"), (F.col("lo") == F.col("hi")).alias("own"))
+    groups = max(1, -(-shards.count() // shard_rows))
+    units = units.withColumn("grp", F.pmod("unit", F.lit(groups)))
     texts, names = rows.select("th", "text"), marked.select("th", "node")
-    stars = materialise(shards.groupBy("grp").applyInPandas(_stars, "a long, b long").distinct(), "candidates")
+    stars = units.filter("own").groupBy("grp").applyInPandas(_stars, "a long, b long, n long")
+    stars = materialise(stars.groupBy("b").agg(F.min(F.struct("n", "a")).alias("least")).select("least.a", "b"), "candidates")
     links = confirmed(stars, texts, names, shingle)
     parts = materialise(connected_components(links), "parts")
-    known = shards.join(parts, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    known = units.join(parts, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
     cross = materialise(known.groupBy("grp").applyInPandas(_cross, "a long, b long").distinct(), "candidates")
     more = confirmed(cross, texts, names, shingle)
     parts = connected_components(links.union(more))
-    for used in (shards, stars, cross):
+    for used in (nodes, shards, stars, cross):
         discard(used)
     return marked.join(parts, "node", "left").select("id", "th", F.coalesce("component", "node").alias("component"))
 

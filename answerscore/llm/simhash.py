@@ -7,12 +7,15 @@
   distinct fingerprint goes to one shard per block.  A shard builds a BK-tree (children keyed by integer
   Hamming distance to the parent) in the task that owns it, and all its members descend it together,
   following only edges within the radius.  Nothing that grows with the corpus is broadcast.
+* A shard that is too large even when split by further blocks is dealt to blocks of rows, and each pair of row blocks
+  is searched by a task of its own: exact, with bounded memory.
 * A shard emits a spanning star per local component, never all pairs; large-star / small-star rounds join
-  stars across shards.  Exact copies collapse to one node before the search.
+  stars across shards.  Exact copies collapse to one node, their fingerprint, before the search.
 
-Null ids: rows keep a row in the result; a component's id is the smallest non-null id in it (null if there is
-none).  Repeated rows are repeated in the result.  Empty tables give empty results.  Further columns of the
-input are ignored (:func:`simhash_groups`) or passed through (:func:`keep_one`).
+Null ids: rows keep a row in the result and link others; a component's id is the smallest non-null id in it (null if
+there is none).  Rows of one id and different texts are different documents.  Repeated rows are repeated in the
+result.  Texts of any length are read whole.  Ids are whole numbers.  Empty tables give empty results.  Further
+columns of the input, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -126,6 +129,16 @@ def _value(shift: int, width: int):
     return F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1))
 
 
+def row_blocks(rows: DataFrame, key: list[str], size: int) -> DataFrame:
+    """Each row for each pair (lo, hi) of row blocks that its block is in; ``count``: rows of the key, null if they fit.
+
+    A key of many rows has as many blocks as give ``size`` rows each; every two rows meet in some pair of blocks.
+    """
+    n = F.coalesce(F.ceil(F.col("count") / size), F.lit(1)).cast("long")
+    rows = rows.withColumn("__own", F.pmod(F.xxhash64("node", *key), n)).withColumn("__other", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    return rows.withColumn("lo", F.least("__own", "__other")).withColumn("hi", F.greatest("__own", "__other")).drop("count", "__own", "__other")
+
+
 def fingerprint_links(prints: DataFrame, radius: int = RADIUS, shard_rows: int = 20_000, group_rows: int = 2_000) -> DataFrame:
     """Links (a, b), a < b, that span the components of distinct fingerprints ``(fp long, node long)``.
 
@@ -141,17 +154,20 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS, shard_rows: int =
         rotated = F.shiftrightunsigned("fp", shift + width).bitwiseOR(F.shiftleft("fp", 64 - shift - width)) if shift + width < 64 else F.col("fp")
         finer.append(F.array(*(F.shiftrightunsigned(rotated, s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in rest)))
     sub = F.when(F.col("large"), F.element_at(F.array(*finer), F.col("block") + 1)).otherwise(F.array(F.lit(-1).cast("long")))
-    shards = keyed.join(large, ["block", "value"], "left").select("fp", "node", "block", "value", F.posexplode(sub).alias("part", "finer"))
+    key = ["block", "value", "part", "finer"]
+    shards = keyed.join(large, ["block", "value"], "left").select("fp", "node", "block", "value", "large", F.posexplode(sub).alias("part", "finer"))
+    still = shards.filter("large").groupBy(*key).count().filter(F.col("count") > shard_rows)
+    shards = row_blocks(shards.join(still, key, "left"), key, shard_rows)
     groups = max(1, -(-prints.count() * (radius + 1) // group_rows))
-    shards = shards.withColumn("grp", F.pmod(F.xxhash64("block", "value", "part", "finer"), F.lit(groups)))
+    shards = shards.select("fp", "node", F.xxhash64(*key, "lo", "hi").alias("unit")).withColumn("grp", F.pmod("unit", F.lit(groups)))
 
     def link(part: pd.DataFrame) -> pd.DataFrame:
-        key = part[["block", "value", "part", "finer"]].to_numpy()
-        order = np.lexsort(key.T)
-        key, fp, node = key[order], part["fp"].to_numpy()[order].astype(np.uint64), part["node"].to_numpy()[order]
-        cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+        unit = part["unit"].to_numpy()
+        order = np.argsort(unit, kind="stable")
+        unit, fp, node = unit[order], part["fp"].to_numpy()[order].astype(np.uint64), part["node"].to_numpy()[order]
+        cuts = np.flatnonzero(unit[1:] != unit[:-1]) + 1
         a, b = [], []
-        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)]):
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(unit)]):
             if hi - lo > 1:
                 roots = _components(fp[lo:hi], radius)
                 least = np.full(hi - lo, np.iinfo(np.int64).max)
@@ -166,53 +182,42 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS, shard_rows: int =
     return shards.groupBy("grp").applyInPandas(link, "a long, b long").distinct()
 
 
-def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(node, component): each linked node with the smallest node reachable, by alternating large and small stars.
 
     All rounds are aggregations and joins over the link table, written to the shared folder; stars of any
-    size are summed before the shuffle and skewed joins are left to adaptive execution.
+    size are summed before the shuffle and skewed joins are left to adaptive execution.  Rounds end when the links
+    are stars: no node is both a centre and a leaf, or the leaf of two.
     """
-    links = materialise(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b"), "links")
-
-    def mark(df: DataFrame):
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
-
-    last = mark(links)
-    for _ in range(max_rounds):
-        if not last[0]:
-            break
+    links = materialise(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "links")
+
+    def stars(df: DataFrame) -> bool:
+        ends = df.select(F.col("a").alias("node"), F.lit(0).alias("leaf")).union(df.select("b", F.lit(1)))
+        counts = ends.groupBy("node").agg(F.sum("leaf").alias("leaf"), F.max(1 - F.col("leaf")).alias("centre"))
+        return counts.filter((F.col("leaf") > 1) | (F.col("leaf") > 0) & (F.col("centre") > 0)).isEmpty()
+
+    rounds = 0
+    while not stars(links):
+        if rounds == max_rounds:
+            raise RuntimeError(f"links are not stars yet after {max_rounds} rounds")
+        rounds += 1
         both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a < b").distinct()
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).filter("a < b").distinct()
         new = materialise(small, "links")
-        now = mark(new)
         discard(links)
         links = new
-        if now == last:
-            break
-        last = now
-    else:
-        raise RuntimeError(f"links are not stars yet after {max_rounds} rounds")
     return links.select(F.col("b").alias("node"), F.col("a").alias("component"))
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = RADIUS) -> DataFrame:
     """One row per document: ``id_col``, ``fp`` (signed long), ``component_id`` (smallest id reachable by links)."""
     marked = materialise(with_fingerprint(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "text", shingle).select("id", "fp"), "simhash")
-    prints = materialise(marked.groupBy("fp").agg(F.min("id").alias("node")), "prints")
-    parts = connected_components(fingerprint_links(prints.filter("node is not null"), radius))
-    known = prints.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    prints = materialise(marked.groupBy("fp").agg(F.min("id").alias("least")), "prints")
+    parts = connected_components(fingerprint_links(prints.select("fp", F.col("fp").alias("node")), radius))
+    grouped = prints.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("part"))
+    names = grouped.groupBy("part").agg(F.min("least").alias("component_id"))
+    known = grouped.join(names, "part").select("fp", "component_id")
     return marked.join(known, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = RADIUS) -> DataFrame:
-    """The input rows whose document stands for its group: the one of the smallest id.
-
-    Repeated rows of that id stay one row; rows of null id are kept, as nothing names them.
-    """
-    groups = simhash_groups(docs, id_col, text_col, shingle, radius)
-    kept = groups.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept")).distinct()
-    named = docs.filter(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("__kept"), "left_semi")
-    return named.dropDuplicates([id_col]).unionByName(docs.filter(F.col(id_col).isNull()))

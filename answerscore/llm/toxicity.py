@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample
+from .common import fit_in_task, labelled_sample
 
 SAMPLE = 1500
 DECAY, SPAN, CLASSES = 0.5, 6, 64
@@ -230,12 +230,16 @@ def train(rows: list[tuple[str, int]], counts: dict[int, int], seed: int = 11) -
 
 
 def fit(docs: DataFrame, labels: DataFrame, exclude: Column, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text"):
-    """The machine learned from labelled rows where ``exclude`` (over ``__id``) is false."""
+    """The machine learned from labelled rows where ``exclude`` (over ``__id``) is false; trained in one executor task."""
     rows, counts = labelled_sample(docs, labels, "toxic", exclude, sample, id_col, text_col)
-    if len({y for _, y in rows}) < 2:
-        odds = (counts.get(1, 0) + 0.5) / (counts.get(0, 0) + 0.5)
-        return np.zeros(CLASSES**3, np.float32), 0.0, math.log(odds)
-    return train(rows, counts)
+
+    def learn(rows: list[tuple[str, int]]) -> tuple[np.ndarray, float, float]:
+        if len({y for _, y in rows}) < 2:
+            odds = (counts.get(1, 0) + 0.5) / (counts.get(0, 0) + 0.5)
+            return np.zeros(CLASSES**3, np.float32), 0.0, math.log(odds)
+        return train(rows, counts)
+
+    return fit_in_task(rows, learn)
 
 
 def score_column(model, text_col: str = "text") -> Column:

@@ -37,6 +37,23 @@ def test_one_of_each_group_of_similar_texts(spark):
     assert sorted(r["doc_id"] for r in near.keep_one(docs).collect()) == sorted(set(want))
 
 
+def test_large_shards_are_split(spark):
+    rng = random.Random(5)
+    common = [str(rng.randrange(10**6)) for _ in range(100)]
+    texts = [" ".join(common + [str(rng.randrange(10**6)) for _ in range(extra)]) for extra in (4, 12, 30, 60) for _ in range(8)]
+    texts += [" ".join("new" if rng.random() < 0.03 else w for w in t.split()) for t in texts[::2]] + ["a " * n for n in range(4, 10)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want, first = brute(texts), {}
+    for i, label in enumerate(want):
+        first.setdefault(label, i)
+    for shard_rows in (20_000, 3):
+        groups = near.similar_groups(docs, shard_rows=shard_rows).collect()
+        least = {}
+        for r in groups:
+            least[r["component"]] = min(r["id"], least.get(r["component"], r["id"]))
+        assert sorted((r["id"], least[r["component"]]) for r in groups) == [(i, first[x]) for i, x in enumerate(want)]
+
+
 def test_rows_of_one_id_or_none(spark):
     base = " ".join(map(str, range(100)))
     rows = [(1, "other words stand in this text"), (1, base), (1, base), (2, base + " x"), (None, base + " x"), (3, None), (4, "")]

@@ -50,7 +50,7 @@ def test_tree_finds_all_within_the_radius():
     assert (found == (np.bitwise_count(values[:, None] ^ values[None, :]) <= 4)).all()
 
 
-@pytest.mark.parametrize("shard_rows", [20_000, 3])
+@pytest.mark.parametrize("shard_rows", [20_000, 30, 2])
 def test_links_span_the_components(spark, shard_rows):
     values = near_values(np.random.default_rng(2), 600)
     prints = spark.createDataFrame([(int(v) - (1 << 64) if v >= 1 << 63 else int(v), i) for i, v in enumerate(values.tolist())], "fp long, node long")
@@ -69,6 +69,13 @@ def test_groups_of_odd_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
     got = sorted((r["doc_id"] or -1, r["component_id"]) for r in S.simhash_groups(docs).collect())
     assert got == [(-1, 1), (1, 1), (1, 1), (3, 1), (7, 7), (8, 7), (9, 9)]
-    kept = S.keep_one(docs)
-    assert kept.columns == docs.columns and sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 1, 7, 9]
     assert S.simhash_groups(docs.limit(0)).count() == 0
+
+
+def test_ids_that_clash_or_are_null(spark):
+    rows = [(1, "a b c d e"), (1, "other words stand in this text"), (None, "third words are a text of their own"), (None, "a b c d e"), (5, "other words stand in this text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or -1, r["fp"], r["component_id"]) for r in S.simhash_groups(docs).collect())
+    fps = {t: S.with_fingerprint(docs).filter(docs.text == t).first()["fp"] for _, t in rows}
+    want = [(1, "a b c d e", 1), (1, "other words stand in this text", 1), (-1, "third words are a text of their own", None), (-1, "a b c d e", 1), (5, "other words stand in this text", 1)]
+    assert got == sorted((i, fps[t], c) for i, t, c in want)
