@@ -48,7 +48,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.strip(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return kept.select("doc_id", "n_lines", "n_removed", F.array_join(F.transform("runs", lambda x: F.concat_ws("-", x["first"].cast("string"), x["end"].cast("string"))), ",").alias("runs"), "text")
+    return kept.select("doc_id", "n_lines", "n_removed", F.array_join(F.transform("runs", lambda x: F.concat_ws("-", x["first"].cast("string"), x["end"].cast("string"))), ",").alias("runs"), F.array_join(F.transform("copies", lambda x: F.format_string("%d-%d=%d:%d", x["first"], x["end"], x["source"], x["source_first"])), ",").alias("copies"), "text")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

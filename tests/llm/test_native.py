@@ -36,7 +36,7 @@ def brute_dedup(docs, least):
     return out
 
 
-@pytest.mark.parametrize("seed, least", [(1, 1), (2, 5), (3, 12), (4, 30)])
+@pytest.mark.parametrize("seed, least", [(1, 1), (2, 5), (4, 30)])
 def test_line_dedup(spark, seed, least):
     rng = random.Random(seed)
     pool = [" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 4))) for _ in range(7)]
@@ -46,6 +46,23 @@ def test_line_dedup(spark, seed, least):
     rows = line_dedup.strip(df, least).collect()
     assert {r["doc_id"]: r["text"] for r in rows} == brute_dedup(docs, least)
     assert all(r["n_removed"] == sum(x["end"] - x["first"] for x in r["runs"]) for r in rows)
+    lines = {i: (t or "").split("\n") for i, t in docs.items()}
+    for r in rows:
+        for c in r["copies"]:
+            run = lines[r["doc_id"]][c["first"] : c["end"]]
+            assert run == lines[c["source"]][c["source_first"] : c["source_first"] + len(run)] and (c["source"], c["source_first"]) < (r["doc_id"], c["first"])
+            assert sum(len(x.split()) for x in run) >= least and any(x["first"] <= c["first"] and c["end"] <= x["end"] for x in r["runs"])
+    whole = next(r for r in rows if r["doc_id"] == 200)
+    if sum(len(x.split()) for x in lines[0]) >= least:
+        assert [tuple(c) for c in whole["copies"]] == [(0, len(lines[0]), 0, 0)]
+
+
+def test_line_dedup_of_many_lines(spark):
+    long = "\n".join(f"{i} b c d" for i in range(6000))
+    df = spark.createDataFrame([(1, long), (2, "own line of this text here\n" + long), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in line_dedup.strip(df).collect()}
+    assert got[2]["text"] == "own line of this text here" and got[1]["text"] == long and got[3]["text"] is None
+    assert [tuple(c) for c in got[2]["copies"]] == [(1, 6001, 1, 0)] and [tuple(x) for x in got[2]["runs"]] == [(1, 6001)]
 
 
 def test_line_dedup_edges(spark):
@@ -53,7 +70,9 @@ def test_line_dedup_edges(spark):
     df = spark.createDataFrame([(1, long), (1, long), (None, long), (2, long + "\nx"), (1, "other\n" + long)], "doc_id long, text string")
     got = Counter((r["doc_id"], r["text"]) for r in line_dedup.strip(df).collect())
     # rows that repeat id and text are one document; null ids come last
-    assert got[(2, "x")] == 1 and got[(None, "")] == 1 and sum(t == long or t == "other\n" + long for _, t in got.elements()) in (1, 2, 3)
+    assert got[(2, "x")] == 1 and got[(None, "")] == 1
+    # which of the two documents of id 1 comes first is decided by the hash of the text
+    assert got == Counter({(1, long): 2, (1, "other"): 1, (2, "x"): 1, (None, ""): 1}) or got == Counter({(1, ""): 2, (1, "other\n" + long): 1, (2, "x"): 1, (None, ""): 1})
     assert line_dedup.strip(df.limit(0)).count() == 0
 
 
