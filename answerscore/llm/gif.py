@@ -1,16 +1,21 @@
 """Media columns: GIF animations, written and decoded.
 
-:func:`encode` stores bytes as the samples of grey frames; :func:`decode` reads any GIF87a/89a: it decodes the LZW
-code streams, applies local or global palettes, interlacing, transparency and disposal rules, and returns timed
-frames.  A stretch of stored samples holds a clear code and up to 247 literal codes, so codes stay 9 bits wide and
-whole frames are packed and unpacked by numpy; streams with table codes take the general path.
+:func:`encode` stores bytes as the samples of frames in 256 colours, compressed by LZW with growing code tables;
+:func:`decode` reads any GIF87a/89a: it decodes the LZW code streams, applies local or global palettes, interlacing,
+transparency and disposal rules, and returns timed frames with the composed picture.  How wide a code is depends only
+on its number behind the last clear code, so bits are packed and unpacked by numpy, and Python runs once per code.
+
+Colour histograms count the shown pixels of the composed picture in 64 ranges, two bits of red, green and blue each;
+transparent pixels do not count.
 
 Defined results: null and empty texts are stored as one row of zeros; payloads of any length are cut into frames of
-``ROWS`` rows; repeated rows give equal values; empty tables give empty results; further columns are ignored.
+``ROWS`` rows; repeated rows give equal values; ids are whole numbers; empty tables give empty results; further columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import struct
 import zlib
@@ -19,60 +24,73 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_bytes
+
 WIDTH, ROWS, DELAY = 64, 4096, 10
-_STRETCH = 247  # literals behind a clear code: 248 codes of 9 bits are 279 bytes
-_GREY = bytes(x for i in range(256) for x in (i, i, i))
-
-
-def _pack9(codes: np.ndarray) -> np.ndarray:
-    """Little-endian packing of 9-bit codes, eight to nine bytes."""
-    c = np.concatenate([codes, np.zeros(-len(codes) % 8, np.uint16)]).reshape(-1, 8)
-    out = np.empty((len(c), 9), np.uint8)
-    out[:, 0] = c[:, 0] & 255
-    for i in range(1, 8):
-        out[:, i] = (c[:, i - 1] >> (9 - i)) | (c[:, i] << i) & 255
-    out[:, 8] = c[:, 7] >> 1
-    return out.reshape(-1)[: (len(codes) * 9 + 7) // 8]
-
-
-def _unpack9(data: np.ndarray) -> np.ndarray:
-    n = len(data) * 8 // 9
-    d = np.concatenate([data, np.zeros(-len(data) % 9, np.uint8)]).reshape(-1, 9).astype(np.uint16)
-    out = np.empty((len(d), 8), np.uint16)
-    for i in range(8):
-        out[:, i] = ((d[:, i] >> i) | (d[:, i + 1] << (8 - i))) & 511
-    return out.reshape(-1)[:n]
-
-
-def _frame(samples: np.ndarray) -> bytes:
-    n = len(samples)
-    stretches = -(-n // _STRETCH)
-    codes = np.full((stretches, _STRETCH + 1), 256, np.uint16)
-    flat = np.zeros(stretches * _STRETCH, np.uint16)
-    flat[:n] = samples
-    codes[:, 1:] = flat.reshape(stretches, _STRETCH)
-    codes = np.append(codes.reshape(-1)[: stretches + n], np.uint16(257))
-    data = _pack9(codes)
-    full = len(data) // 255
-    blocks = np.empty((full, 256), np.uint8)
-    blocks[:, 0] = 255
-    blocks[:, 1:] = data[: full * 255].reshape(full, 255)
-    rest = data[full * 255 :].tobytes()
-    head = b"\x21\xf9\x04" + struct.pack("<BHB", 4, DELAY, 0) + b"\0" + b"\x2c" + struct.pack("<HHHHB", 0, 0, WIDTH, n // WIDTH, 0) + b"\x08"
-    return head + blocks.tobytes() + (bytes([len(rest)]) + rest if rest else b"") + b"\0"
+_MOST = 4096  # codes of a table
+_STEP = np.arange(256)
+#: A colour of its own for each byte: three bits of red, three of green, two of blue.
+_COLOURS = np.stack([(_STEP >> 5) * 255 // 7, (_STEP >> 2 & 7) * 255 // 7, (_STEP & 3) * 85], axis=1).astype(np.uint8).tobytes()
+
+
+@functools.lru_cache(maxsize=64)
+def code_widths(least: int, first: int, n: int) -> np.ndarray:
+    """Bits of codes number ``first`` to ``first + n - 1`` behind a clear code, for samples of ``least`` bits."""
+    held = (1 << least) + 2 + np.maximum(np.arange(first, first + n) - 1, 0)  # entries of the reader's table
+    return np.clip(np.floor(np.log2(held)).astype(np.int64) + 1, least + 1, 12)
+
+
+_WIDTHS = code_widths(8, 0, _MOST)
+
+
+def compress(samples: bytes) -> bytes:
+    """The LZW code stream of 8-bit samples, with a clear code whenever the table is full."""
+    parts, codes, table, following = [], [], {}, 258
+    find, emit = table.get, codes.append
+    prefix = samples[0]
+    for c in samples[1:]:
+        key = prefix << 8 | c
+        code = find(key)
+        if code is not None:
+            prefix = code
+            continue
+        emit(prefix)
+        prefix = c
+        if following < _MOST:
+            table[key] = following
+            following += 1
+        else:
+            emit(256)
+            parts.append(codes)
+            codes, table, following = [], {}, 258
+            find, emit = table.get, codes.append
+    parts.append([*codes, prefix, 257])
+    bits = [np.array([0, 0, 0, 0, 0, 0, 0, 0, 1], np.uint8)]  # the first clear code
+    place = np.arange(12)
+    for part in parts:
+        flat = np.array(part, np.int64)[:, None] >> place & 1
+        bits.append(flat[place < _WIDTHS[: len(part), None]].astype(np.uint8))
+    return np.packbits(np.concatenate(bits), bitorder="little").tobytes()
+
+
+def _frame(samples: bytes) -> bytes:
+    data = compress(samples)
+    blocks = b"".join(bytes([len(data[i : i + 255])]) + data[i : i + 255] for i in range(0, len(data), 255))
+    head = b"\x21\xf9\x04" + struct.pack("<BHB", 2 << 2, DELAY, 0) + b"\0"  # the next frame begins on an empty picture
+    return head + b"\x2c" + struct.pack("<HHHHB", 0, 0, WIDTH, len(samples) // WIDTH, 0) + b"\x08" + blocks + b"\0"
 
 
 def encode(payload: bytes) -> bytes:
     """A GIF89a whose samples, frame by frame, are the bytes of ``payload`` (a positive multiple of 64)."""
     if not payload or len(payload) % WIDTH:
         raise ValueError("payload must be a positive multiple of 64 bytes")
-    samples = np.frombuffer(payload, np.uint8)
-    height = min(ROWS, len(samples) // WIDTH)
-    frames = [_frame(samples[i : i + WIDTH * ROWS]) for i in range(0, len(samples), WIDTH * ROWS)]
-    return b"GIF89a" + struct.pack("<HHBBB", WIDTH, height, 0xF7, 0, 0) + _GREY + b"".join(frames) + b"\x3b"
+    height = min(ROWS, len(payload) // WIDTH)
+    frames = [_frame(payload[i : i + WIDTH * ROWS]) for i in range(0, len(payload), WIDTH * ROWS)]
+    return b"GIF89a" + struct.pack("<HHBBB", WIDTH, height, 0xF7, 0, 0) + _COLOURS + b"".join(frames) + b"\x3b"
 
 
 def _blocks(data: bytes, at: int) -> tuple[bytes, int]:
@@ -92,64 +110,56 @@ def _blocks(data: bytes, at: int) -> tuple[bytes, int]:
 
 def lzw(data: bytes, least: int, wanted: int) -> np.ndarray:
     """The first ``wanted`` samples of a GIF code stream with ``least`` bits per sample."""
-    if least == 8:
-        codes = _unpack9(np.frombuffer(data, np.uint8))
-        stop = np.flatnonzero(codes == 257)
-        codes = codes[: int(stop[0])] if len(stop) else codes
-        clear = np.flatnonzero(codes == 256)
-        # No stretch between clears fills the first 9-bit table, and none uses it: the codes are the samples.
-        gaps = np.diff(np.concatenate((clear, [len(codes)])))
-        if len(clear) and clear[0] == 0 and gaps.max() <= 255 and codes.max() <= 256:
-            return codes[codes < 256].astype(np.uint8)[:wanted]
     clear, end = 1 << least, (1 << least) + 1
-    out, table, width, previous = bytearray(), {}, least + 1, None
-    first = {i: bytes([i]) for i in range(clear)}
-    bits = have = 0
-    following = end + 1
-    for byte in data:
-        bits |= byte << have
-        have += 8
-        while have >= width:
-            code, bits, have = bits & ((1 << width) - 1), bits >> width, have - width
-            if code == clear:
-                table, width, previous, following = dict(first), least + 1, None, end + 1
-                continue
-            if code == end or len(out) >= wanted:
-                return np.frombuffer(bytes(out[:wanted]), np.uint8)
-            if not table:
-                table = dict(first)
-            if previous is None:
+    base = [bytes([i]) for i in range(clear)] + [b"", b""]
+    bits = np.concatenate((np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little"), np.zeros(12, np.uint8)))
+    total, place = len(bits) - 12, np.arange(12)
+    out: list[bytes] = []
+    table, previous, made, at, number = list(base), b"", 0, 0, 0
+    while at < total and made < wanted:
+        widths = code_widths(least, min(number, _MOST), _MOST)[: (total - at) // (least + 1)]
+        offsets = at + np.cumsum(widths) - widths
+        n = int(np.searchsorted(offsets + widths, total, side="right"))
+        if not n:
+            break
+        widths, offsets = widths[:n], offsets[:n]
+        codes = (bits[offsets[:, None] + place].astype(np.int64) * (place < widths[:, None]) << place).sum(axis=1)
+        stop = np.flatnonzero((codes == clear) | (codes == end))
+        n = int(stop[0]) if len(stop) else n
+        for code in codes[:n].tolist():
+            if code < len(table):
                 entry = table[code]
+            elif code == len(table) and previous:
+                entry = previous + previous[:1]
             else:
-                if code in table:
-                    entry = table[code]
-                elif code == following:
-                    entry = previous + previous[:1]
-                else:
-                    raise ValueError("damaged code stream")
-                if following < 4096:
-                    table[following] = previous + entry[:1]
-                    following += 1
-                    if following == 1 << width and width < 12:
-                        width += 1
-            out += entry
+                raise ValueError("damaged code stream")
+            if previous and len(table) < _MOST:
+                table.append(previous + entry[:1])
+            out.append(entry)
             previous = entry
-    return np.frombuffer(bytes(out[:wanted]), np.uint8)
+        made += sum(map(len, out[len(out) - n :]))
+        if len(stop):
+            if codes[n] == end:
+                break
+            at, number, table, previous = int(offsets[n] + widths[n]), 0, list(base), b""
+        else:
+            at, number = int(offsets[-1] + widths[-1]), number + n
+    return np.frombuffer(b"".join(out)[:wanted], np.uint8)
 
 
 @dataclass
 class Frame:
-    """One shown frame: ``samples`` as stored, ``rgba`` the canvas after it, its start and duration in 1/100 s."""
+    """One shown frame: ``samples`` as stored, ``rgba`` the composed picture, its start and duration in 1/100 s."""
 
     samples: np.ndarray
-    rgba: np.ndarray | None
+    rgba: np.ndarray
     start: int
     delay: int
     disposal: int
 
 
-def decode(data: bytes, canvas: bool = True) -> Iterator[Frame]:
-    """The frames of a GIF in order; without ``canvas`` only samples and times, no composed picture."""
+def decode(data: bytes) -> Iterator[Frame]:
+    """The frames of a GIF in order."""
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
@@ -188,32 +198,33 @@ def decode(data: bytes, canvas: bool = True) -> Iterator[Frame]:
             shown = np.empty_like(samples)
             shown[rows] = samples
             samples = shown
-        if canvas:
-            saved = screen.copy() if disposal == 3 else None
-            colours = np.zeros((256, 4), np.uint8)
-            colours[: len(palette), :3] = palette
-            colours[:, 3] = 255
-            area = screen[top : top + h, left : left + w]
-            new = colours[samples[: area.shape[0], : area.shape[1]]]
-            if clear_index is None:
-                area[...] = new
-            else:
-                seen = samples[: area.shape[0], : area.shape[1]] != clear_index
-                area[seen] = new[seen]
-            yield Frame(samples, screen.copy(), clock, delay, disposal)
-            if disposal == 2:
-                area[...] = 0
-            elif disposal == 3:
-                screen[...] = saved
+        if palette is None:
+            raise ValueError("no palette")
+        saved = screen.copy() if disposal == 3 else None
+        colours = np.zeros((256, 4), np.uint8)
+        colours[: len(palette), :3] = palette
+        colours[:, 3] = 255
+        area = screen[top : top + h, left : left + w]
+        seen = samples[: area.shape[0], : area.shape[1]]
+        if clear_index is None:
+            area[...] = colours[seen]
         else:
-            yield Frame(samples, None, clock, delay, disposal)
+            opaque = seen != clear_index
+            area[opaque] = colours[seen[opaque]]
+        yield Frame(samples, screen.copy(), clock, delay, disposal)
+        if disposal == 2:
+            area[...] = 0
+        elif disposal == 3:
+            screen[...] = saved
         clock += delay
         delay, disposal, clear_index = 0, 0, None
 
 
-def histogram(samples: np.ndarray, bins: int = 16) -> np.ndarray:
-    """Counts of samples in equal ranges of the index."""
-    return np.bincount(samples.reshape(-1), minlength=256).reshape(bins, -1).sum(axis=1)
+def histogram(rgba: np.ndarray) -> np.ndarray:
+    """Counts of the shown pixels by two bits of red, green and blue each."""
+    pixels = rgba.reshape(-1, 4).astype(np.int64)
+    pixels = pixels[pixels[:, 3] > 0] >> 6
+    return np.bincount(pixels[:, 0] << 4 | pixels[:, 1] << 2 | pixels[:, 2], minlength=64)
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
@@ -228,8 +239,8 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):  # bounds what is held besides the input
-                part = batch.slice(at, 256)
+            for at, end in by_bytes(pc.binary_length(batch.column(1)).to_pylist()):  # bounds what is held besides the input
+                part = batch.slice(at, end - at)
                 made = [payload_of(t) for t in part.column(1).to_pylist()]
                 yield pa.record_batch([part.column(0), pa.array([n for _, n in made], pa.int64()), pa.array([encode(p) for p, _ in made], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
@@ -243,9 +254,9 @@ def frame_columns(stored: DataFrame, id_col: str = "doc_id", media_col: str = "m
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, media in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for i, f in enumerate(decode(media.as_py(), canvas=False) if media.is_valid else ()):
+                for i, f in enumerate(decode(media.as_py()) if media.is_valid else ()):
                     h, w = f.samples.shape
-                    values = [doc, i, f.start, f.delay, w, h, f.samples.tobytes(), histogram(f.samples).tolist()]
+                    values = [doc, i, f.start, f.delay, w, h, f.samples.tobytes(), histogram(f.rgba).tolist()]
                     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
                     yield pa.record_batch([pa.array([v], t) for v, t in zip(values, types)], names=[x.split()[0] for x in schema.split(", ")])
 
@@ -253,22 +264,26 @@ def frame_columns(stored: DataFrame, id_col: str = "doc_id", media_col: str = "m
 
 
 def features(stored: DataFrame) -> DataFrame:
-    """One row per stored GIF: digests of what is read back and of the stored form, and its colour-histogram feature."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames int, duration long"
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64()]
+    """One row per stored GIF: digests of what is read back and of the stored form, its colour histogram over all frames
+    as ``feature``, and ``timed``: each frame's start, delay and histogram."""
+    timed = pa.list_(pa.struct([("start", pa.int64()), ("delay", pa.int64()), ("histogram", pa.list_(pa.int64()))]))
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames int, duration long, timed array<struct<start: long, delay: long, histogram: array<long>>>"
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames", "duration", "timed"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), timed]
 
     def one(media: bytes) -> tuple:
-        counts, sha, n, frames, end, tail = np.zeros(16, np.int64), hashlib.sha256(), 0, 0, 0, b""
-        for f in decode(media, canvas=False):
-            samples = f.samples.tobytes()
-            counts += histogram(f.samples)
+        counts, sha, n, shown, end, tail = np.zeros(64, np.int64), hashlib.sha256(), 0, [], 0, b""
+        for f in decode(media):
+            samples, own = f.samples.tobytes(), histogram(f.rgba)
+            counts += own
             sha.update(samples)
-            n, frames, end, tail = n + len(samples), frames + 1, f.start + f.delay, samples[-WIDTH:]
-        return n, sha.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), ",".join(map(str, counts.tolist())), frames, end
+            shown.append({"start": f.start, "delay": f.delay, "histogram": own.tolist()})
+            n, end, tail = n + len(samples), f.start + f.delay, samples[-WIDTH:]
+        return n, sha.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), ",".join(map(str, counts.tolist())), len(shown), end, shown
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = list(zip(*(one(x.as_py()) for x in batch.column(2)))) or [()] * 8
-            yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(v, t) for v, t in zip(made, kinds[2:]))], names=[x.split()[0] for x in schema.split(", ")])
+            made = list(zip(*(one(x.as_py()) for x in batch.column(2)))) or [()] * len(kinds)
+            yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(v, t) for v, t in zip(made, kinds))], names=names)
 
     return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)

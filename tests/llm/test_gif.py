@@ -18,7 +18,11 @@ def test_round_trip(n):
     frames = list(gif.decode(gif.encode(payload)))
     assert b"".join(f.samples.tobytes() for f in frames) == payload
     assert [f.start for f in frames] == [gif.DELAY * i for i in range(len(frames))]
-    assert (frames[0].rgba[: frames[0].samples.shape[0], :, 0] == frames[0].samples).all()
+    colours = np.frombuffer(gif._COLOURS, np.uint8).reshape(256, 3)
+    assert len({tuple(c) for c in colours.tolist()}) == 256
+    for f in frames:
+        h = len(f.samples)
+        assert (f.rgba[:h, :, :3] == colours[f.samples]).all() and not f.rgba[h:].any()
 
 
 def compress(samples, least):
@@ -62,6 +66,39 @@ def test_growing_codes(least, n):
     assert (gif.lzw(compress(samples.tolist(), least), least, n) == samples).all()
 
 
+@pytest.mark.parametrize("n", [64, 5000, 70000])
+def test_written_streams_are_those_of_a_plain_encoder(n):
+    for high in (3, 256):
+        samples = np.random.default_rng(n).integers(0, high, n).astype(np.uint8)
+        got, want = gif.compress(samples.tobytes()), compress(samples.tolist(), 8)
+        assert got == want[: len(got)] and not any(want[len(got) :])
+        assert (gif.lzw(got, 8, n) == samples).all() and len(gif.lzw(got, 8, 10)) == 10
+
+
+def test_full_table_without_a_clear_code():
+    samples = np.random.default_rng(4).integers(0, 4, 60000).astype(np.uint8)
+    clear, width, following, table, word, bits, n, out = 4, 3, 6, {bytes([i]): i for i in range(4)}, b"", 0, 0, bytearray()
+    codes = [(clear, 3)]
+    for s in samples.tolist():
+        if word + bytes([s]) in table:
+            word += bytes([s])
+            continue
+        codes.append((table[word], width))
+        if following < 4096:
+            table[word + bytes([s])] = following
+            if following == 1 << width and width < 12:
+                width += 1
+            following += 1
+        word = bytes([s])
+    for code, size in [*codes, (table[word], width), (clear + 1, width)]:
+        bits |= code << n
+        n += size
+        while n >= 8:
+            out.append(bits & 255)
+            bits, n = bits >> 8, n - 8
+    assert (gif.lzw(bytes(out) + bytes([bits & 255, 0]), 2, len(samples)) == samples).all()
+
+
 def image(samples, w, h, left=0, top=0, disposal=0, clear=None, delay=3, palette=None):
     head = b"\x21\xf9\x04" + struct.pack("<BHB", disposal << 2 | (clear is not None), delay, clear or 0) + b"\0"
     head += b"\x2c" + struct.pack("<HHHHB", left, top, w, h, 0x80 | 1 if palette else 0) + (palette or b"")
@@ -69,12 +106,16 @@ def image(samples, w, h, left=0, top=0, disposal=0, clear=None, delay=3, palette
     return head + b"\x02" + bytes([len(data)]) + data + b"\0"
 
 
-def test_disposal_transparency_and_palettes():
+def layered():
     colours = bytes([0, 0, 0, 255, 0, 0, 0, 255, 0, 0, 0, 255])
     own = bytes([9, 9, 9, 8, 8, 8, 7, 7, 7, 6, 6, 6])
     data = b"GIF89a" + struct.pack("<HHBBB", 2, 2, 0x80 | 1, 0, 0) + colours
     data += image([1, 1, 1, 1], 2, 2) + image([2, 0], 2, 1, top=1, disposal=2, clear=0) + image([3], 1, 1, disposal=3) + image([0], 1, 1, left=1, palette=own) + b"\x3b"
-    f = list(gif.decode(data))
+    return data
+
+
+def test_disposal_transparency_and_palettes():
+    f = list(gif.decode(layered()))
     assert [x.start for x in f] == [0, 3, 6, 9]
     assert f[0].rgba[:, :, 0].tolist() == [[255, 255], [255, 255]]
     assert f[1].rgba[1].tolist() == [[0, 255, 0, 255], [255, 0, 0, 255]]  # clear pixels keep what is below
@@ -100,3 +141,19 @@ def test_frame_columns(spark):
     rows = gif.frame_columns(stored).orderBy("frame").collect()
     assert b"".join(r["samples"] for r in rows).rstrip(b"\0") == b"x" * 300_000
     assert sum(rows[0]["histogram"]) == rows[0]["width"] * rows[0]["height"] and rows[1]["start"] == gif.DELAY
+
+
+def test_features_of_palettes_disposal_and_transparency(spark):
+    r = gif.features(spark.createDataFrame([(1, 5, bytearray(layered()))], "doc_id long, n_bytes long, media binary")).first()
+
+    def counts(*colours):
+        out = [0] * 64
+        for red, green, blue in colours:
+            out[(red >> 6) * 16 + (green >> 6) * 4 + (blue >> 6)] += 1
+        return out
+
+    red, green, blue, grey = (255, 0, 0), (0, 255, 0), (0, 0, 255), (9, 9, 9)
+    want = [counts(red, red, red, red), counts(red, red, green, red), counts(blue, red), counts(red, grey)]
+    assert [x["histogram"] for x in r["timed"]] == want and [(x["start"], x["delay"]) for x in r["timed"]] == [(0, 3), (3, 3), (6, 3), (9, 3)]
+    assert r["feature"] == ",".join(map(str, np.sum(want, axis=0))) and (r["frames"], r["duration"], r["payload_bytes"]) == (4, 12, 8)
+    assert r["payload_sha256"] == hashlib.sha256(bytes([1, 1, 1, 1, 2, 0, 3, 0])).hexdigest()
