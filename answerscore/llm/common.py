@@ -82,21 +82,29 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def range_bucket(df: DataFrame, column: str, buckets: int = 512) -> tuple[DataFrame, str]:
-    """Add ``__bucket``: the number of equal-frequency bounds at or below the value.
+def range_bucket(df: DataFrame, column: str, rows: int = 32_768) -> tuple[DataFrame, str]:
+    """Add ``__bucket``: the number of equal-frequency bounds at or below the value of a long column; about ``rows`` rows each.
 
-    Bounds come from one ``percentile_approx`` over the narrow column, so rows of equal value share a
-    bucket and buckets are in value order; at most ``buckets`` longs reach the driver.  Nulls come last.
+    Bounds come from one ``percentile_approx`` over the narrow column: one long for ``rows`` rows reaches the driver.
+    They are searched in two steps, so a row costs twice the square root of their number in comparisons.  Rows of equal
+    value share a bucket, buckets are in value order, and nulls come last.
     """
-    ps = [i / buckets for i in range(1, buckets)]
-    bounds = df.select(F.percentile_approx(column, ps, 100 * buckets)).first()[0] or []
-    bounds = sorted(set(bounds))
+    n = df.count() // rows + 1
+    bounds = df.select(F.percentile_approx(column, [i / n for i in range(1, n)], 10 * n)).first()[0] if n > 1 else None
+    bounds = sorted(set(bounds or []))
     if bounds:
-        array = "array(" + ",".join(f"{b}L" if b > -(2**63) else "-9223372036854775807L" for b in bounds) + ")"
-        bucket = F.expr(f"CASE WHEN `{column}` IS NULL THEN {len(bounds) + 1} ELSE size(filter({array}, b -> b <= `{column}`)) END")
-    else:
-        bucket = F.lit(0)
-    return df.withColumn("__bucket", bucket), "__bucket"
+        wide = max(1, round(len(bounds) ** 0.5))
+        parts = [bounds[i : i + wide] for i in range(0, len(bounds), wide)]
+
+        def array(values: list[int]) -> str:
+            return "array(" + ",".join(f"{b}L" if b > -(2**63) else "-9223372036854775807L" for b in values) + ")"
+
+        heads, inner = array([p[0] for p in parts]), "array(" + ",".join(map(array, parts)) + ")"
+        df = df.withColumn("__part", F.expr(f"size(filter({heads}, b -> b <= `{column}`))"))
+        found = F.expr(f"(__part - 1) * {wide} + size(filter({inner}[__part - 1], b -> b <= `{column}`))")
+        bucket = F.when(F.col(column).isNull(), len(bounds) + 1).when(F.col("__part") == 0, 0).otherwise(found)
+        return df.withColumn("__bucket", bucket).drop("__part"), "__bucket"
+    return df.withColumn("__bucket", F.when(F.col(column).isNull(), 1).otherwise(0)), "__bucket"
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, exclude: Column, per_class: int, id_col: str = "doc_id", text_col: str = "text", class_bytes: int = SAMPLE_BYTES) -> tuple[DataFrame, dict[int, int]]:

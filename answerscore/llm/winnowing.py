@@ -1,22 +1,27 @@
 """Document fingerprints by winnowing, in DataFrame expressions only.
 
-Words (runs of non-white-space, case kept) are hashed; each run of ``k`` words has a rolling hash built from
-the word hashes.  In every window of ``w`` such hashes the least is chosen, the rightmost on ties, and its
-position is kept.  Any passage of at least ``w + k - 1`` words that two texts share therefore leaves a common
-fingerprint.  Fewer than ``k`` words: one hash of the whole sequence; fewer than ``w`` hashes: one window;
+Words (runs of non-white-space, case kept) are hashed, and each run of ``k`` words has a rolling hash: the cyclic
+polynomial of its word hashes, rot(h1, k-1) ^ ... ^ rot(hk, 0).  All rolling hashes of a text are made together, those
+of 2, 4 ... words from pairs of shorter ones.  In every window of ``w`` such hashes the least is chosen, the rightmost
+on ties, and its position is kept.  Any passage of at least ``w + k - 1`` words that two texts share therefore leaves a
+common fingerprint.  Fewer than ``k`` words: one hash of the whole sequence; fewer than ``w`` hashes: one window;
 no words (null or empty text): an empty fingerprint.
 
-Texts are processed whole in array expressions inside each row: no shuffle, no Python.
+Texts of any length are processed whole in array expressions inside each row, a fixed number of passes each: no Python.
+
+Defined results of :func:`compare_edited`: null texts are empty; rows of equal id are ordered by their texts, null ids
+come last; repeated rows are repeated; a single row is its own next; empty tables give empty results; further columns,
+whatever their names, are ignored; ids are whole numbers.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, range_bucket
 
-K, W = 5, 8
+K, W = 4, 5
 
 
 def word_hashes(text: Column) -> Column:
@@ -25,15 +30,32 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda x: F.xxhash64(x))
 
 
+def turned(x: Column, bits: int) -> Column:
+    """A long with its bits rotated to the left."""
+    return F.shiftleft(x, bits).bitwiseOR(F.shiftrightunsigned(x, 64 - bits)) if bits % 64 else x
+
+
+def _joined(a: Column, b: Column, m: int, n: int) -> Column:
+    """Rolling hashes of m + n words from those of m words (``a``) and of n words (``b``)."""
+    count = F.greatest(F.least(F.size(a), F.size(b) - m), F.lit(0))
+    return F.zip_with(F.slice(a, F.lit(1), count), F.slice(b, F.lit(m + 1), count), lambda x, y: turned(x, n).bitwiseXOR(y))
+
+
 def winnow(df: DataFrame, text_col: str, out: str, k: int = K, w: int = W) -> DataFrame:
     """Add ``out``: array<struct<hash, pos>> of the chosen k-gram hashes of ``text_col``, in text order."""
-    t, h, p = f"__{out}_t", f"__{out}_h", f"__{out}_p"
+    t, h, p, double = f"__{out}_t", f"__{out}_h", f"__{out}_p", f"__{out}_d"
     df = df.withColumn(t, word_hashes(F.coalesce(F.col(text_col), F.lit(""))))
-    grams = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size(t) - k, F.lit(0))),
-        lambda i: F.xxhash64(*(F.get(F.col(t), i + j) for j in range(k))),  # past the end: null, which leaves the hash as it is
-    )
-    df = df.withColumn(h, F.when(F.size(t) > 0, grams).otherwise(F.array().cast("array<bigint>")))
+    # Hashes of k words: the binary digits of k say which powers of two they are joined from.
+    df, size, power = df.withColumn(double, F.col(t)), 0, 1
+    while power <= k:
+        if k & power:
+            df = df.withColumn(h, F.col(double) if not size else _joined(F.col(h), F.col(double), size, power))
+            size += power
+        if 2 * power <= k:
+            df = df.withColumn(double, _joined(F.col(double), F.col(double), power, power))
+        power *= 2
+    whole = F.reduce(F.col(t), F.lit(0).cast("long"), lambda a, b: turned(a, 1).bitwiseXOR(b))
+    df = df.withColumn(h, F.when(F.size(t).between(1, k - 1), F.array(whole)).otherwise(F.col(h))).drop(double)
     # The rightmost least position of windows of 1, 2, 4 ... hashes; two such windows cover one of w.
     df = df.withColumn(p, F.when(F.size(h) > 0, F.sequence(F.lit(0), F.size(h) - 1)).otherwise(F.array().cast("array<int>")))
     width = 1
@@ -63,25 +85,22 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(both == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(a, b)) / both)
 
 
-def with_next(df: DataFrame, id_col: str, carried: list[str], prefix: str = "next_") -> DataFrame:
+def with_next(df: DataFrame, id_col: str, carried: list[str], prefix: str = "next_", bucket_rows: int = 32_768) -> DataFrame:
     """Add each carried column of the next row in ascending ``id_col`` (after the last row: of the first).
 
-    Rows are dealt to many range buckets; each bucket also gets a copy of the first row of the bucket after
-    it, so that no window holds more than a bucket.  Null ids come last; rows of equal id are ordered by their
-    carried columns.
+    Rows are dealt to range buckets of about ``bucket_rows`` rows; each bucket also gets a copy of the first row of the
+    bucket after it, so that no window holds more than a bucket.  Null ids come last; rows of equal id are ordered by
+    their carried columns.
     """
-    df, bucket = range_bucket(df, id_col)
-    filled = [r[0] for r in df.select(bucket).distinct().orderBy(bucket).collect()]  # as many as buckets at most
-    if not filled:
-        return df.select("*", *(F.col(c).alias(prefix + c) for c in carried)).drop(bucket)
-    before = dict(zip(filled, [filled[-1], *filled[:-1]]))
+    df, bucket = range_bucket(df, id_col, bucket_rows)
     order = [F.col(id_col).asc_nulls_last(), *(F.col(c).asc_nulls_first() for c in carried if dict(df.dtypes)[c] in ("string", "bigint"))]
+    # One row a bucket: its smallest id, and the bucket that it follows.
     heads = df.groupBy(bucket).agg(F.min(id_col).alias("__head"))
+    along = Window.orderBy(bucket)
+    ends = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    heads = heads.withColumn("__before", F.coalesce(F.lag(bucket).over(along), F.last(bucket).over(ends)))
     ghosts = df.join(F.broadcast(heads), bucket).filter(F.col(id_col).eqNullSafe(F.col("__head"))).drop("__head")
-    moved = F.create_map(*(F.lit(x) for pair in before.items() for x in pair))[F.col(bucket)]
-    ghosts = ghosts.withColumn(bucket, moved).withColumn("__ghost", F.lit(1))
-    from pyspark.sql import Window
-
+    ghosts = ghosts.withColumn(bucket, F.col("__before")).drop("__before").withColumn("__ghost", F.lit(1))
     own = Window.partitionBy(bucket).orderBy("__ghost", *order)
     rows = df.withColumn("__ghost", F.lit(0)).unionByName(ghosts)
     for c in carried:
@@ -92,12 +111,12 @@ def with_next(df: DataFrame, id_col: str, carried: list[str], prefix: str = "nex
 def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, w: int = W) -> DataFrame:
     """Fingerprints of each text and of its edited text, with their likeness and that of the next document.
 
-    The edited text has its last quarter of code points replaced by the first as many of the next document.
+    ``positions`` are the word numbers at which the chosen k-grams of the text begin.  The edited text has its last quarter of code points replaced by the first as many of the next document.
     Null texts are empty.  One row per input row; with a single row it is its own next.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = winnow(base, "text", "prints", k, w)
-    base = base.select("doc_id", "text", digest(F.col("prints")).alias("fingerprint"), F.size("prints").alias("n_prints"), hash_set(F.col("prints")).alias("set"))
+    base = base.select("doc_id", "text", digest(F.col("prints")).alias("fingerprint"), F.transform("prints", lambda x: x["pos"]).alias("positions"), hash_set(F.col("prints")).alias("set"))
     near = with_next(base, "doc_id", ["text", "set"])
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
@@ -106,5 +125,5 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     near = winnow(near, "edited", "edited_prints", k, w)
     return near.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", digest(F.col("edited_prints")).alias("edited_fingerprint"),
-        likeness(F.col("set"), hash_set(F.col("edited_prints"))).alias("near_edited"), likeness(F.col("set"), F.col("next_set")).alias("near_next"), "n_prints",
+        likeness(F.col("set"), hash_set(F.col("edited_prints"))).alias("near_edited"), likeness(F.col("set"), F.col("next_set")).alias("near_next"), "positions",
     )

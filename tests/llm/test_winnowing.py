@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
+import xxhash
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -20,7 +22,25 @@ def positions(hashes, w):
     return sorted(set(out))
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+def rolling(words):
+    """Cyclic polynomial of word hashes, as a signed long."""
+    out = 0
+    for x in words:
+        out = ((out << 1 | out >> 63) & (1 << 64) - 1) ^ xxhash.xxh64_intdigest(x.encode(), 42)
+    return out - (1 << 64) if out >> 63 else out
+
+
+def prints(text):
+    words = text.split()
+    hashes = [rolling(words[i : i + W.K]) for i in range(max(1, len(words) - W.K + 1))] if words else []
+    return {hashes[i] for i in positions(hashes, W.W)}, positions(hashes, W.W)
+
+
+def dice(a, b):
+    return 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(texts=st.lists(st.text("ab \t", max_size=60), min_size=1, max_size=20), w=st.integers(1, 9), k=st.integers(1, 5))
 def test_least_hashes_with_rightmost_ties(spark, texts, w, k):
     df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
@@ -29,6 +49,7 @@ def test_least_hashes_with_rightmost_ties(spark, texts, w, k):
         hashes = [x["hash"] for x in r["all"]]
         words = (r["t"] or "").split()
         assert len(hashes) == (max(1, len(words) - k + 1) if words else 0)
+        assert hashes == [rolling(words[i : i + k]) for i in range(len(hashes))]
         assert [x["pos"] for x in r["got"]] == positions(hashes, w)
         assert all(x["hash"] == hashes[x["pos"]] for x in r["got"])
 
@@ -51,7 +72,10 @@ def test_edited_texts(spark):
         q = len(a) // 4
         assert got[i]["n_chars"] == len(a)
         assert got[i]["edited_sha256"] == hashlib.sha256((a[: len(a) - q] + b[:q]).encode()).hexdigest()
-        assert 0 <= got[i]["near_edited"] <= 1 and 0 <= got[i]["near_next"] <= 1
+        own, places = prints(a)
+        assert got[i]["positions"] == places
+        assert abs(got[i]["near_edited"] - dice(own, prints(a[: len(a) - q] + b[:q])[0])) < 1e-12
+        assert abs(got[i]["near_next"] - dice(own, prints(b)[0])) < 1e-12
     assert got[9]["fingerprint"] == got[11]["fingerprint"]
     single = W.compare_edited(docs.filter(F.col("doc_id") == 5)).collect()
     assert single[0]["near_next"] == 1.0
@@ -61,3 +85,13 @@ def test_edited_texts(spark):
 def test_repeated_and_null_ids(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c d e"), (2, "f")], "doc_id long, text string")
     assert W.compare_edited(docs).count() == 4
+
+
+def test_next_rows_over_many_buckets(spark):
+    rng = random.Random(1)
+    ids = [rng.randrange(-50, 60) for _ in range(150)] + [None, None, -(2**63), 2**63 - 1]
+    docs = spark.createDataFrame([(i, f"t{n:03}", n) for n, i in enumerate(ids)], "id long, text string, n long")
+    want = sorted(((i is None, i or 0, f"t{n:03}") for n, i in enumerate(ids)))
+    for rows in (1000, 20, 2):
+        got = {r["text"]: r["next_text"] for r in W.with_next(docs, "id", ["text"], bucket_rows=rows).collect()}
+        assert got == {a[2]: b[2] for a, b in zip(want, [*want[1:], want[0]])}
