@@ -27,7 +27,7 @@ from .common import discard, materialise, text_of, word_count
 CAP = 3
 WEIGHTS = (5, 2, 1)
 SALTS = 64
-NEWTON_STEPS = 40
+NEWTON_STEPS = 200  # more than halving the bracket needs; beyond it the solver fails
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -93,6 +93,8 @@ def tilts(cells: DataFrame, targets: DataFrame, cap: int = CAP, steps: int = NEW
         state = new
         if state.filter("open").isEmpty():
             break
+    else:
+        raise RuntimeError(f"no tilt meets a source's target after {steps} steps")
     shut = F.when(F.col("target") < 1e-9, F.lit(-1e6)).when(F.col("target") > (cap - 1e-9) * F.col("source_size"), F.lit(None).cast("double")).otherwise(F.round("lam", 9))  # rounded: the order of sums must not show
     return state.select("source", "source_size", "target", "scale", shut.alias("lam"))
 

@@ -21,12 +21,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import by_bytes, materialise
 
-WINDOW, END_ID, SALTS = 2048, 1, 64
+WINDOW, END_ID, CELL_ROWS = 2048, 1, 100_000
 TRIPLE_LENGTHS, SOLVER_STEPS = 64, 300
 _MIXED = re.compile(r" \s|\s ")
 _CACHE_LIMIT = 400_000
@@ -96,8 +97,8 @@ def token_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         coder = chunks(tokenizer_path(vocabulary), tokenizer_path(ranks))
         end = np.array([END_ID], "<u2").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at, stop in by_bytes(pc.binary_length(batch.column(1)).to_pylist()):
+                part = batch.slice(at, stop - at)
                 ids = [coder.encode(t or "") + end for t in part.column(1).to_pylist()]
                 yield pa.record_batch([part.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 2 for x in ids], pa.int64())], names=["doc_id", "ids", "n"])
 
@@ -161,7 +162,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     tokens = materialise(token_table(docs, id_col, text_col, vocabulary, ranks), "tokens")
     rest, full = F.col("n") % window, F.floor(F.col("n") / window)
-    salt = F.pmod(F.xxhash64("uid"), F.lit(SALTS))
+    salt = F.pmod(F.xxhash64("uid"), F.lit(max(64, tokens.count() // CELL_ROWS)))  # so that no cell grows with the table
     cells = materialise(tokens.groupBy(rest.alias("rest"), salt.alias("salt")).agg(F.count("*").alias("docs"), F.sum(full).cast("long").alias("windows")), "cells")
     per_rest = cells.groupBy("rest").agg(F.sum("docs").alias("docs"), F.sum("windows").alias("windows")).orderBy("rest").collect()  # at most `window` rows
     histogram = np.zeros(window, np.int64)

@@ -136,10 +136,12 @@ def decide(words: list[str], table: np.ndarray) -> np.ndarray:
             top += w * np.where(z > 0, table[place], 0).sum(axis=1)
             square += w * w * (z > 0).sum(axis=1)
         value[part] = top / np.sqrt(np.maximum(square, 1e-12))
-    high = np.flatnonzero(value > 0)  # words with repeated triples have a longer phi than assumed above
-    if len(high):
-        row, col, weight = unit_triples([words[i] for i in high])
-        value[high] = np.bincount(row, weight * table[col], len(high))
+        # A word with a character that stands twice can hold a triple twice: its phi is longer than assumed so far.
+        inside = np.sort(c, axis=1)
+        twice = part[((inside[:, 1:] == inside[:, :-1]) & (inside[:, 1:] > 0)).any(axis=1)]
+        if len(twice):
+            row, col, weight = unit_triples([words[i] for i in twice.tolist()])
+            value[twice] = np.bincount(row, weight * table[col], len(twice))
     return value
 
 

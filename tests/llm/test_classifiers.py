@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from answerscore.llm import quality, toxicity
+from answerscore.llm.common import labelled_sample
 
 WORDS = ["river", "stone", "garden", "window", "summer", "winter", "letter", "silver", "market", "bridge", "yellow", "planet"]
 
@@ -88,5 +90,53 @@ def test_kernel_is_the_subsequence_kernel():
     table = np.random.default_rng(0).normal(size=toxicity.CLASSES**3).astype(np.float32)
     row, col, weight = toxicity.unit_triples(words)
     want = np.bincount(row, weight * table[col], len(words))
-    got = toxicity.decide(words, table)
-    assert np.allclose(got[want > 0], want[want > 0], atol=1e-5) and (got[want <= 0] <= 1e-6).all()
+    assert np.allclose(toxicity.decide(words, table), want, atol=1e-5) and np.allclose(toxicity.decide(words, -table), -want, atol=1e-5)
+
+
+def test_quality_score_by_its_definition(spark):
+    rng = np.random.default_rng(1)
+    scores = rng.normal(size=2 * quality.PAIRS).astype(np.float32)
+    most = (1 << 64) - 1
+
+    def key(chars, start):
+        out = start
+        for c in chars:
+            out = (out * 1_000_003 + ord(c)) & most
+        return out
+
+    def word(w):
+        out, power = 0, 1
+        for c in f"<{w}>":
+            power = power * 1_000_003 & most
+            out = (out + ord(c) * power) & most
+        return out
+
+    def slot(k):
+        return (k * 0x9E3779B97F4A7C15 & most) >> 64 - quality.BITS
+
+    def brute(text):
+        words = (text or "").split()
+        total = 0.0
+        for w in words:
+            m = f"<{w}>"
+            keys = [word(w)] + [key(m[i : i + n], n) for n in quality.NGRAMS for i in range(len(m) - n + 1)]
+            total += np.mean([scores[max(1, slot(k))] for k in keys], dtype=np.float64)
+        for a, b in zip(words, words[1:]):
+            total += scores[0 if a == b else quality.PAIRS + slot(word(a) * 1_000_003 + word(b))]
+        return 1 / (1 + math.exp(-(0.3 + total / max(1, 2 * len(words) - 1))))
+
+    texts = [None, "", " ", "one", "a a a b", "Straße naïve 中文 x", "words of a longer text " * 50]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    got = {r["i"]: r["p"] for r in docs.select("i", quality.score_column((scores, 0.3)).alias("p")).collect()}
+    assert np.allclose([got[i] for i in range(len(texts))], [brute(t) for t in texts], atol=1e-6)
+
+
+def test_sample_is_bounded_in_rows_and_bytes(spark):
+    docs = spark.createDataFrame([(i, "x" * (10 + i)) for i in range(60)] + [(5, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    rows, counts = labelled_sample(docs, labels, "quality", F.lit(False), 8, class_bytes=200)
+    got = rows.collect()
+    assert counts == {0: 30, 1: 30} and {r["y"] for r in got} == {0, 1}
+    for y in (0, 1):
+        own = [len(r["text"]) for r in got if r["y"] == y]
+        assert 1 <= len(own) <= 9 and (sum(own) <= 200 or len(own) == 1)

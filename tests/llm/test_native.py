@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -107,6 +108,18 @@ def test_mixing(spark):
         assert r["source_size"] == sizes[r["source"]] and 0 <= r["taken"] <= 3 * r["size"] and abs(r["target"] - want[r["source"]]) < 1e-6 * (1 + want[r["source"]])
         taken[r["source"]] += r["taken"]
     assert all(abs(taken[s] - want[s]) <= 1 for s in sizes)
+    for source in sizes:  # the rates are the exponential tilt that meets the target
+        own = [r for r in got if r["source"] == source]
+        if 0 < want[source] < 3 * sizes[source] * (1 - 1e-9):
+            scale, low, high = sizes[source] / len(own), -1e4, 1e4
+            for _ in range(200):
+                lam = (low + high) / 2
+                rates = [3 / (1 + 2 * math.exp(min(700, -lam * r["size"] / scale))) for r in own]
+                if sum(x * r["size"] for x, r in zip(rates, own)) < want[source]:
+                    low = lam
+                else:
+                    high = lam
+            assert all(abs(x - r["rate"]) < 1e-3 for x, r in zip(rates, own))
     assert Counter((r["doc_id"], r["taken"]) for r in got) == Counter((r["doc_id"], r["taken"]) for r in mixing.mix(docs.repartition(7)).collect())
     copies = mixing.mix_copies(docs)
     assert copies.columns == docs.columns

@@ -6,6 +6,8 @@ import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from answerscore.llm import packing as P
 
@@ -26,6 +28,29 @@ def test_chunks_equal_the_tokenizer(tokenizer):
         assert got == tokenizer.encode(text or "", add_special_tokens=False).ids, text
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(st.text(max_size=200), st.text("ab '.,12\n\t é\u00a0\u3000中<|>endoftx", max_size=300)))
+def test_chunks_equal_the_tokenizer_on_random_texts(tokenizer, text):
+    text = text.encode("utf-8", "ignore").decode()
+    coder = P.chunks(P.tokenizer_path("byte_bpe_50k.json"), P.tokenizer_path("byte_bpe_50k.tiktoken"))
+    assert np.frombuffer(coder.encode(text), "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_solver_meets_the_conditions_of_least_squares():
+    rng = np.random.default_rng(2)
+    histogram = rng.integers(0, 400, 64)
+    histogram[0] = 0
+    combos = P.combinations(histogram, 64)
+    a = np.zeros((64, len(combos)))
+    for i in range(3):
+        np.add.at(a, (combos[:, i], np.arange(len(combos))), 1)
+    a[0] = 0
+    x = P.solve(combos, histogram, 20_000)
+    slope = a.T @ (a @ x - histogram)
+    assert (x >= 0).all() and slope.min() > -1 and abs(slope @ x) < 1e-3 * (histogram @ histogram)
+    assert (P.combinations(histogram, 64).sum(axis=1) == 64).all()
+
+
 def check(rows, ids):
     for doc, wanted in ids.items():
         at = 0
