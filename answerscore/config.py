@@ -66,15 +66,16 @@ def merged(base: Config, *overrides: dict) -> Config:
     return base
 
 
-def grid(base: Config, **values) -> list[Config]:
-    """The product of the listed values over ``base``; w_gram2 is what the other two weights leave, and points where it is negative go."""
+def grid(base: Config, /, limit: int | None = None, **values) -> list[Config]:
+    """The first ``limit`` points of the product of the listed values over ``base``; w_gram2 is what the other two weights
+    leave, and points where it is negative or above 0.35 go."""
     out = []
     for point in itertools.product(*values.values()):
         config = replace(base, **dict(zip(values, point)))
         if {"w_lex", "w_gram3"} & set(values):
             rest = round(1 - config.w_lex - config.w_gram3, 10)
-            if rest < 0:
+            if not 0 <= rest <= 0.35:
                 continue
             config = replace(config, w_gram2=rest)
         out.append(config)
-    return out
+    return out[:limit]

@@ -76,7 +76,10 @@ def calibrated(raw: Column, config: Config, ties: dict[int, Column] | None = Non
         h = step(raw, config.step_t, config.step_w)
         if config.step_r > 0 and r is not None:
             h = F.when(r < config.step_r, 0.0).otherwise(h)
-        tie = (ties or {}).get(config.tie_src, raw)
+        ties = {0: raw} | (ties or {})
+        if config.tie_src not in ties:
+            raise ValueError(f"tie source {config.tie_src} is unknown or needs similarities")
+        tie = ties[config.tie_src]
         return clamp01((1.0 - config.step_b) * h + config.step_b * clamp01(tie))
     if config.sigk > 0:
         return clamp01(logistic(raw, config.sigk, config.sigc))

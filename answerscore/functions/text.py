@@ -163,6 +163,17 @@ def json_array_in(text: Column) -> Column:
     return F.filter(found, lambda x: F.trim(x) != "")
 
 
+def report_metrics(text: Column) -> Column:
+    """struct of the metrics that the text of an evaluation report states; null where it does not state them."""
+    number = lambda pattern, group, kind: F.nullif(F.regexp_extract(text, pattern, group), F.lit("")).cast(kind)
+    margin, family = r"candidate_margin ([0-9.]+) \| wins (\d+)/(\d+) \| ties (\d+)", r"family_margin ([0-9.]+) \| wins (\d+)/(\d+)"
+    return F.struct(
+        number(margin, 1, "double").alias("margin"), number(margin, 2, "int").alias("wins"), number(margin, 4, "int").alias("ties"), number(r"spearman vs \S+\s+(-?[0-9.]+)", 1, "double").alias("spearman"),
+        number(r"score_stddev ([0-9.]+)", 1, "double").alias("stddev"), number(r"worst_self_match ([0-9.]+)", 1, "double").alias("worst_self"), F.regexp_count(text, F.lit(r"\[FAIL\]")).alias("fails"),
+        number(family, 1, "double").alias("fam_margin"), number(family, 2, "int").alias("fam_wins"), number(family, 3, "int").alias("fam_total"),
+    )
+
+
 def unfenced(text: Column) -> Column:
     """Text without a Markdown code fence around it."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), r"^```[A-Za-z]*\s*", ""), r"\s*```$", ""))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from answerscore.functions import text as T
@@ -29,10 +29,14 @@ def annotated(rows: DataFrame, sets: DataFrame) -> DataFrame:
     return facing.join(to_other, key, "left").join(to_q, key, "left").join(hits, key, "left").fillna(False, ["in_q", "hit"])
 
 
-def precision(marked: DataFrame, soft: DataFrame | None = None) -> DataFrame:
+SOFT_BUDGET = 512  # fixed value: so many words of an answer are looked up in the vectors
+
+
+def precision(marked: DataFrame, soft: DataFrame | None = None, budget: int = SOFT_BUDGET) -> DataFrame:
     """(id, p_hit, p_tot, an_content, an_novel): of what the answer asserts, how much the ground truth has.
 
-    Words only the question has count for 0.35.  ``soft``: (id, side, pos, credit) of word vectors.
+    Words only the question has count for 0.35.  ``soft``: (id, side, pos, credit) of word vectors; the first
+    ``budget`` content words that nothing else matches can have credit.
     """
     rows = marked.filter("side = 'a'")
     credit = F.lit(0.0)
@@ -41,7 +45,12 @@ def precision(marked: DataFrame, soft: DataFrame | None = None) -> DataFrame:
     w, found, content = F.col("w"), F.col("at_other").isNotNull() | F.col("hit"), F.col("w") > CONTENT
     part = F.when(found, w).when(F.col("in_q"), w * 0).otherwise(0)
     total = F.when(found, w * 100).when(F.col("in_q"), w * 35).otherwise(w * 100)
-    extra = F.when(~found & ~F.col("in_q") & content, w * credit).otherwise(0.0)
+    alone = ~found & ~F.col("in_q") & content
+    if soft is not None:
+        upto = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumn("__asked", F.sum(F.when(alone, 1).otherwise(0)).over(upto))
+        alone = alone & (F.col("__asked") <= budget)
+    extra = F.when(alone, w * credit).otherwise(0.0)
     return rows.groupBy("id").agg(
         (F.sum(part) / UNIT + F.sum(extra) / UNIT).alias("p_hit"), (F.sum(total) / (100 * UNIT)).alias("p_tot"),
         (F.sum(F.when(content, w).otherwise(0)) / UNIT).alias("an_content"), (F.sum(F.when(content & ~F.col("in_q"), w).otherwise(0)) / UNIT).alias("an_novel"),

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import asdict
 from functools import reduce
+from types import SimpleNamespace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from answerscore.config import Config
 from answerscore.functions.calibration import step_tiebreak
+from answerscore.tables import materialised
 
 from .agreement import mean_group_spearman
 
@@ -101,12 +104,29 @@ def top_points(agreement: DataFrame, axes: list[str], top: int = 8) -> DataFrame
     return agreement.groupBy("point", *axes).agg(F.avg("rho").alias("mean_rho")).orderBy(F.round("mean_rho", 9).desc(), "point").limit(top)
 
 
+#: Fields that choose a branch of the score, so that they are the same for all configurations of one plan.
+_BRANCHES = ("p_concave", "w_emb", "step_t", "step_w", "step_r", "tie_src", "gate_lex", "post_iters", "post_pivot", "post_frac", "sigk", "sharpen", "m_num_match")
+
+
 def config_scores(features: DataFrame, configs: dict[str, Config]) -> DataFrame:
-    """(config, id, score) of one feature table under many configurations."""
+    """(config, id, score) of one feature table, written once and read once, under many configurations.
+
+    The fields in which the configurations differ are columns of a table of one row each, which is broadcast: it is as
+    long as the list passed in.  So the plan is that of one configuration, however many there are.
+    """
     from .score import finish
 
-    parts = [finish(features, c).select(F.lit(name).alias("config"), "id", "score") for name, c in configs.items()]
-    return reduce(DataFrame.unionByName, parts)
+    features, parts = materialised(features, "features"), {}
+    for name, c in configs.items():
+        parts.setdefault(tuple(getattr(c, f) for f in _BRANCHES), []).append((name, asdict(c)))
+    out = []
+    for part in parts.values():
+        fixed = dict(part[0][1])
+        varied = [f for f, v in fixed.items() if any(c[f] != v for _, c in part)]
+        table = features.sparkSession.createDataFrame([(name, *(float(c[f]) for f in varied)) for name, c in part], ", ".join(["config string", *(f"__{f} double" for f in varied)]))
+        rows = features.crossJoin(F.broadcast(table))
+        out.append(finish(rows, SimpleNamespace(**fixed | {f: F.col(f"__{f}") for f in varied})).select("config", "id", "score"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def feasible(margin: Column, wins: Column, cases: Column, worst_self: Column, stddev: Column, family_margin: float = 0.45) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +15,7 @@ from answerscore.operators import ledger as L
 from answerscore.operators import sweep as S
 from answerscore.operators.score import score
 from answerscore.streaming import status
+from answerscore.tables import shared_folder
 
 from . import inputs as I
 from . import oracle as O
@@ -363,10 +362,7 @@ def _status_rows(events: DataFrame) -> DataFrame:
 @query(_CHANGES)
 def status_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a file stream; the changes it emits, read back from the sink's folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="answerscore-")
-    import uuid
-
-    at = f"{root.rstrip('/')}/status-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/answerscore/status-{uuid.uuid4().hex}"
     schema = I.table(spark, sf_dir, "events").schema
     stream = _status_rows(spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parq*"))
     status.log_changes(stream, f"{at}/log", f"{at}/state").trigger(availableNow=True).start().awaitTermination()

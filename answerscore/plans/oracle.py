@@ -209,17 +209,18 @@ feats AS MATERIALIZED (SELECT l.*, g.gram3, g.gram2, c.content_gt, c.content_a,
     FROM lexed l JOIN grams g ON g.id = l.id JOIN counts c ON c.id = l.id LEFT JOIN adjacent j ON j.id = l.id LEFT JOIN entities e ON e.id = l.id LEFT JOIN numbers n ON n.id = l.id LEFT JOIN tally t ON t.id = l.id)"""
 
 
-def finished(config: Config = LEXICAL) -> str:
-    """CTEs from ``feats`` to ``scored(id, raw, score)``."""
+def finished(config: Config = LEXICAL, base: str = "feats", raw: str = "lex_only", score: str | None = None) -> str:
+    """CTEs from ``base``, features and what else ``raw`` needs, to ``scored(id, raw, score)``."""
     c = config
-    return f"""facts AS (SELECT *, {clamp(f'{c.w_lex} * lex + {c.w_gram3} * gram3 + {c.w_gram2} * gram2')} AS lex_only, k_tot > 0 AND k_hit >= k_tot * 0.999 AS full_cover FROM feats),
+    score = score or f"{c.sharpen} * raw * raw * (3 - 2 * raw) + {1 - c.sharpen} * raw"
+    return f"""facts AS (SELECT *, {clamp(f'{c.w_lex} * lex + {c.w_gram3} * gram3 + {c.w_gram2} * gram2')} AS lex_only, k_tot > 0 AND k_hit >= k_tot * 0.999 AS full_cover FROM {base}),
 flags AS (SELECT *, full_cover AND p_raw >= 0.999 AND adjacency < 0.15 AND content_gt >= 3 AND content_a >= 3 AS reordered, entity_gt > 0 AND entity_a > 0 AND entity < 0.05 AND full_cover AS swapped, contra_w > 0 AND k_tot > 0 AS negated FROM facts),
-s1 AS (SELECT *, lex_only * CASE WHEN reordered THEN {c.m_order} ELSE 1.0 END * CASE WHEN swapped THEN {c.m_entity} ELSE 1.0 END * CASE WHEN negated THEN 1 - {c.m_negcov} * least(1.0, CAST(contra_w AS DOUBLE) / k_tot) ELSE 1.0 END AS x1 FROM flags),
+s1 AS (SELECT *, {raw} * CASE WHEN reordered THEN {c.m_order} ELSE 1.0 END * CASE WHEN swapped THEN {c.m_entity} ELSE 1.0 END * CASE WHEN negated THEN 1 - {c.m_negcov} * least(1.0, CAST(contra_w AS DOUBLE) / k_tot) ELSE 1.0 END AS x1 FROM flags),
 s2 AS (SELECT *, x1 * CASE WHEN gt_nums > 0 THEN {c.m_num_miss_base} + {1 - c.m_num_miss_base} * gt_nums_hit / gt_nums ELSE 1.0 END * CASE WHEN gt_nums > 0 AND wrong_nums > 0 AND gt_nums_hit < gt_nums THEN {c.m_num_wrong} ELSE 1.0 END AS x2 FROM s1),
 s3 AS (SELECT *, CASE WHEN contra > 0 THEN x2 * {c.m_contra} WHEN two_faced > 0 THEN x2 * {c.m_two_faced} WHEN agree > 0 THEN x2 + (1 - x2) * {c.b_agree} WHEN silent > 0 THEN x2 * {c.m_silent} WHEN negation_differs THEN x2 * (1 - 0.35 * lex) ELSE x2 END AS x3,
     reordered OR swapped OR negated OR contra > 0 OR two_faced > 0 OR (agree = 0 AND silent = 0 AND negation_differs) AS claim_wrong FROM s2),
 s4 AS (SELECT *, {clamp(f'CASE WHEN {c.m_num_match} > 0 AND gt_nums > 0 AND gt_fig > 0 AND gt_fig_hit = gt_fig AND foreign_fig = 0 AND NOT claim_wrong THEN x3 + (1 - x3) * {c.m_num_match} ELSE x3 END')} AS raw FROM s3),
-scored AS (SELECT *, {clamp(f'{c.sharpen} * raw * raw * (3 - 2 * raw) + {1 - c.sharpen} * raw')} AS score FROM s4)"""
+scored AS (SELECT *, {clamp(score)} AS score FROM s4)"""
 
 
 GUARDS = f"""guards AS (SELECT id, CASE WHEN NOT regexp_matches(a, '[^ \\t\\n\\f\\r]') THEN 0.0 WHEN gt = '' THEN 0.0

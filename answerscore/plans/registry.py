@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import evaluation, scoring, vectors
+from . import evaluation, files, scoring, vectors
 
-QUERIES: dict = {**scoring.QUERIES, **evaluation.QUERIES, **vectors.QUERIES}
-ORACLE: dict[str, str] = {**scoring.ORACLE, **evaluation.ORACLE, **vectors.ORACLE}
+QUERIES: dict = {**scoring.QUERIES, **evaluation.QUERIES, **vectors.QUERIES, **files.QUERIES}
+ORACLE: dict[str, str] = {**scoring.ORACLE, **evaluation.ORACLE, **vectors.ORACLE, **files.ORACLE}

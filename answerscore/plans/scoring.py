@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerscore.config import LEXICAL, merged
+from answerscore.config import LEXICAL, SOFTENED, merged
 from answerscore.functions import text as T
 from answerscore.operators import features as FE
 from answerscore.operators import matching as M
 from answerscore.operators import polarity
 from answerscore.operators.score import finish, guards, score
 from answerscore.operators.tokens import CONTENT, side_texts, token_rows, token_sets
+from answerscore.tables import materialised
 
 from . import inputs as I
 from . import oracle as O
@@ -162,8 +165,9 @@ def scale_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _marked(spark: SparkSession, triples: DataFrame):
-    rows = token_rows(side_texts(triples))
-    return rows, FE.annotated(rows, token_sets(rows))
+    """Token rows and their matches, written once as several aggregations read them."""
+    rows = materialised(token_rows(side_texts(triples)), "tokens")
+    return rows, materialised(FE.annotated(rows, materialised(token_sets(rows), "sets")), "marked")
 
 
 @query(f"WITH {_CONV}, {O.SETS}, {O.MARKED}, {O.PRECISION} SELECT id, {q6('p_hit', 'p_tot', 'an_content', 'an_novel')} FROM prec")
@@ -316,3 +320,70 @@ def length_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
 def word_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plain baseline: share of the answer's words that the ground truth has."""
     return I.triples_conv(spark, sf_dir).select("id", F.round(T.word_overlap(F.col("a"), F.col("gt")), 6).alias("overlap"))
+
+
+# --- the score with similarities and word vectors ------------------------------------------------------------------
+_IDS = [f"{c[0]}:{kind}" for c in I.CASES for kind in ("good", "bad")]
+#: (id, ca, c2, c4, cb, cq): stand-ins for an encoder's similarities
+_SIMS = [(key, *(round((i * step + 7) % 100 / 100, 2) for step in (37, 53, 71, 89, 29))) for i, key in enumerate(_IDS)]
+_BLENDS = {
+    "score_embedded": replace(SOFTENED, w_qa=0.2, emb_a_w=0.25, emb_l2_w=0.1, emb_l4_w=0.05, emb_b_w=0.6, emb_lex_w=0.2),
+    "score_gated_step": replace(SOFTENED, w_qa=0.3, emb_b_w=1.0, gate_lex=0.3, step_t=0.4, step_b=0.1, tie_src=6),
+    "score_depth_tie": replace(SOFTENED, emb_l2_w=0.5, emb_l4_w=0.5, emb_b_w=0.0, step_t=0.5, step_b=0.2, step_w=0.1, tie_src=7),
+}
+_TIES = {6: "0.5 * lex_only + 0.5 * cb", 7: "c2"}
+
+
+def _sims_sql() -> str:
+    return "sims AS (SELECT * FROM (VALUES " + ", ".join(f"('{r[0]}', " + ", ".join(f"{x}::DOUBLE" for x in r[1:]) + ")" for r in _SIMS) + ") t(id, ca, c2, c4, cb, cq))"
+
+
+def _blend_sql(c) -> str:
+    topical = f"({1 - c.w_qa} * ({c.emb_a_w} * ca + {c.emb_l2_w} * c2 + {c.emb_l4_w} * c4 + {c.emb_b_w} * cb) + {c.w_qa} * cq)"
+    raw = O.clamp(f"{topical} * {O.clamp(f'lex_only / {c.gate_lex}')}" if c.gate_lex else f"{topical} + {c.emb_lex_w} * lex_only")
+    score = None
+    if c.step_t:
+        hard = O.clamp(f"(raw - {c.step_t - c.step_w}) / {2 * c.step_w}") if c.step_w else f"CASE WHEN raw >= {c.step_t} THEN 1.0 ELSE 0.0 END"
+        score = f"{1 - c.step_b} * {hard} + {c.step_b} * {O.clamp(_TIES[c.tie_src])}"
+    elif not c.sharpen:
+        score = "raw"
+    done = O.finished(c, "embedded", raw, score)
+    return f"""WITH {O.sides(I.SQL_CS)},\n{O.FEATURES},\n{_sims_sql()}, embedded AS (SELECT f.*, s.ca, s.c2, s.c4, s.cb, s.cq FROM feats f JOIN sims s ON s.id = f.id),
+{done},\n{O.GUARDS} SELECT t.id, round(coalesce(g.guard, s.score, 0.0), 6) AS score FROM triples t LEFT JOIN guards g ON g.id = t.id LEFT JOIN scored s ON s.id = t.id"""
+
+
+def _sims(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_SIMS, "id string, ca double, c2 double, c4 double, cb double, cq double")
+
+
+def _blended(name: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return score(I.triples_cases(spark), _BLENDS[name], sims=_sims(spark)).select("id", *r6("score"))
+
+    return query(_blend_sql(_BLENDS[name]), name)(run)
+
+
+for _name in _BLENDS:
+    _blended(_name)
+
+_GUARD_ROWS = [("n1", "which city", "", "Lisbon", 0.8), ("n2", "", "", "Lisbon", 0.8), ("n3", "which city", "", " \t", 0.8), ("n4", "which city", "", "Porto", 0.3), ("e1", "which city", "It is Lisbon.", "it is LISBON", 0.6), ("e2", "", "Lisbon", "lisbon!", 0.6), ("e3", "which city", "Lisbon", "", 0.6)]
+_GUARDED = replace(LEXICAL, nogt_q=1.0, exact_tie=0.5, step_t=0.5, step_b=0.1)
+_GUARD_SQL = "g AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(f"'{x}'" for x in r[:4]) + f", {r[4]}::DOUBLE)" for r in _GUARD_ROWS) + ") t(id, q, gt, a, cq))"
+
+
+@query(f"WITH {_GUARD_SQL} SELECT id, round(CASE WHEN NOT regexp_matches(a, '[^ \\t]') THEN 0.0 WHEN q = '' THEN 0.0 ELSE 0.9 * CASE WHEN cq >= 0.5 THEN 1.0 ELSE 0.0 END + 0.1 * cq END, 6) AS score FROM g WHERE gt = ''")
+def guard_no_gt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers without a ground truth, by how well they fit the question."""
+    return _guarded(spark).filter("id like 'n%'")
+
+
+@query(f"WITH {_GUARD_SQL} SELECT id, round(CASE WHEN a = '' THEN 0.0 WHEN q = '' THEN 1.0 ELSE 1.0 - 0.5 * (1.0 - cq) END, 6) AS score FROM g WHERE gt <> ''")
+def exact_tie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers equal to the ground truth, told apart by the question."""
+    return _guarded(spark).filter("id like 'e%'")
+
+
+def _guarded(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame(_GUARD_ROWS, "id string, q string, gt string, a string, cq double")
+    sims = rows.select("id", *(F.lit(0.0).alias(c) for c in ("ca", "c2", "c4", "cb")), "cq")
+    return score(rows.drop("cq"), _GUARDED, sims=sims).select("id", *r6("score"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from answerscore.tables import materialised
+
 CASES = "note string, cases array<struct<id: string, intent: string, question: string, ground_truth: string, good: string, bad: string>>"
 ATTACKS = "note string, cases array<struct<name: string, rule: string, question: string, ground_truth: string, honest: string, attack: string, why: string>>"
 TRAFFIC = "note string, rows array<struct<q: string, gt: string, a: string, model: string>>"
@@ -32,7 +34,7 @@ def read_traffic(spark: SparkSession, path: str) -> DataFrame:
 
 def read_cached_scores(spark: SparkSession, path: str, expected: int | None = None) -> DataFrame:
     """(row, score) of a bare JSON array; another length than ``expected`` is an error."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     rows = text.select(F.posexplode(F.from_json("value", "array<double>")).alias("row", "score"))
     if expected is not None and (n := rows.count()) != expected:
         raise ValueError(f"{path} has {n} scores, not {expected}")
@@ -41,7 +43,7 @@ def read_cached_scores(spark: SparkSession, path: str, expected: int | None = No
 
 def read_dump(spark: SparkSession, path: str) -> DataFrame:
     """(file, id, score) of score dumps; ``path`` may be a glob, the variant's name is the file's."""
-    rows = _json(spark, path, DUMP).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1).alias("file"), F.explode("scores").alias("id", "score"))
+    rows = _json(spark, path, DUMP).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.json(?:/[^/]*)?$", 1).alias("file"), F.explode("scores").alias("id", "score"))
     return rows
 
 
@@ -65,9 +67,19 @@ def append_ledger(entries: DataFrame, path: str) -> None:
     entries.write.mode("append").json(path)
 
 
-def write_report(report: DataFrame, path: str) -> None:
-    """A report is a few rows: one JSON file."""
-    report.coalesce(1).write.mode("overwrite").json(path)
+def write_report(report: DataFrame, path: str, key: str = "module") -> None:
+    """A report is a few rows: one indented JSON object, each row's other columns under its ``key``, in key order."""
+    body = F.to_json(F.struct(*(c for c in report.columns if c != key)), {"pretty": "true", "ignoreNullFields": "false"})
+    entry = F.concat(F.lit('  "'), F.col(key), F.lit('" : '), F.regexp_replace(body, "\n", "\n  "))
+    entries = report.select(F.col(key), entry.alias("entry")).groupBy().agg(F.array_sort(F.collect_list(F.struct(key, "entry"))).alias("all"))
+    text = F.concat(F.lit("{\n"), F.array_join(F.col("all.entry"), ",\n"), F.lit("\n}"))
+    entries.select(text.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def traffic_scores(traffic: DataFrame, dump: DataFrame) -> DataFrame:
+    """Traffic rows with the scores that dumps give them by their index; rows without one have none."""
+    scores = parsed_ids(dump).filter("row is not null").select("file", "row", "intent", "score")
+    return traffic.join(scores, "row", "left")
 
 
 def write_scores(scores: DataFrame, path: str) -> None:
@@ -78,14 +90,11 @@ def append_new(rows: DataFrame, path: str, key: str) -> int:
     """Append the rows whose key the Parquet table at ``path`` does not have yet; returns how many."""
     spark = rows.sparkSession
     rows = rows.dropDuplicates([key])
-    try:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(target):
         rows = rows.join(spark.read.parquet(path).select(key), key, "left_anti")
-    except Exception as e:  # the table does not exist yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    rows = rows.persist()
+    rows = materialised(rows, "new")
     n = rows.count()
     if n:
         rows.write.mode("append").parquet(path)
-    rows.unpersist()
     return n

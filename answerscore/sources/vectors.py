@@ -23,11 +23,12 @@ def read_glove(spark: SparkSession, path: str, limit: int = 40_000) -> DataFrame
 
 
 def read_distilled(spark: SparkSession, path: str, dim: int) -> DataFrame:
-    """(word, vec) of lines whose last ``dim`` fields are numbers; lower-case ASCII words only."""
+    """(word, vec) of lines whose last ``dim`` fields are numbers; lower-case ASCII words only, the first line of each."""
     p = F.col("p")
-    rows = spark.read.text(path).select(F.split(F.trim("value"), " +").alias("p")).filter(F.size("p") == dim + 1)
-    rows = rows.select(F.lower(F.get(p, F.lit(0))).alias("word"), F.transform(F.slice(p, F.lit(2), F.lit(dim)), lambda x: x.cast("double")).alias("vec"))
-    return rows.filter(F.rlike("word", F.lit("^[a-z0-9]+$"))).groupBy("word").agg(F.first("vec").alias("vec"))
+    lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
+    rows = lines.select("line", F.split(F.trim("value"), " +").alias("p")).filter(F.size("p") == dim + 1)
+    rows = rows.select("line", F.lower(F.get(p, F.lit(0))).alias("word"), F.transform(F.slice(p, F.lit(2), F.lit(dim)), lambda x: x.cast("double")).alias("vec"))
+    return rows.filter(F.rlike("word", F.lit("^[a-z0-9]+$"))).groupBy("word").agg(F.min_by("vec", "line").alias("vec"))
 
 
 def packed(words: DataFrame, centre: bool = False) -> DataFrame:

@@ -12,6 +12,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 OUT = "key string, status string, seq long"
 
 
+LEAST_ID = 256  # fixed value: registrations below it are not watched
+
+
+def watched(rows: DataFrame, id_col: str = "key", least: int = LEAST_ID) -> DataFrame:
+    """The rows whose registration id is ``least`` or more; ids that are no whole numbers count as 0."""
+    return rows.filter(F.coalesce(F.expr(f"try_cast(`{id_col}` AS BIGINT)"), F.lit(0)) >= least)
+
+
 def status_changes(stream: DataFrame) -> DataFrame:
     """(key, status, seq) changes of a stream of (key, status, seq); state is one status per key.
 

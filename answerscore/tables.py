@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session, or a folder of our own where it is unset (as in tests)."""
+    """``spark.checkpoint.dir`` of the session, or in local mode a folder of our own where it is unset (as in tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="answerscore-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
