@@ -82,14 +82,16 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def range_bucket(df: DataFrame, column: str, rows: int = 32_768) -> tuple[DataFrame, str]:
-    """Add ``__bucket``: the number of equal-frequency bounds at or below the value of a long column; about ``rows`` rows each.
+def range_bucket(df: DataFrame, column: str, rows: int = 32_768, few: int = 512) -> tuple[DataFrame, str]:
+    """Add ``__bucket``: the number of equal-frequency bounds at or below the value of a long column; about ``rows`` rows
+    each, fewer (down to a sixteenth) where that leaves less than ``few`` buckets.
 
     Bounds come from one ``percentile_approx`` over the narrow column: one long for ``rows`` rows reaches the driver.
     They are searched in two steps, so a row costs twice the square root of their number in comparisons.  Rows of equal
     value share a bucket, buckets are in value order, and nulls come last.
     """
-    n = df.count() // rows + 1
+    count = df.count()
+    n = count // min(rows, max(rows // 16, count // few, 1)) + 1
     bounds = df.select(F.percentile_approx(column, [i / n for i in range(1, n)], 10 * n)).first()[0] if n > 1 else None
     bounds = sorted(set(bounds or []))
     if bounds:

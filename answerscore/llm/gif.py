@@ -108,14 +108,43 @@ def _blocks(data: bytes, at: int) -> tuple[bytes, int]:
     return b"".join(parts), at + 1
 
 
+def expand(codes: np.ndarray, base: int) -> np.ndarray:
+    """The samples of the codes between two clear codes; ``base`` is the first code of the table that grows.
+
+    Table entry ``base + m`` is the string of code number m and the sample behind it, that is, what stands in the output
+    from that code on.  So each code is a sample or a copy of earlier output, and chains of copies are followed by
+    doubling, for all codes and then for all samples at once.
+    """
+    n = len(codes)
+    number = np.arange(n)
+    copied = codes >= base
+    source = np.where(copied, codes - base, number)
+    if (source[copied] >= number[copied]).any() or (codes[~copied] >= base - 2).any():
+        raise ValueError("damaged code stream")
+    length, to = copied.astype(np.int64), source
+    while (to[to] != to).any():
+        length, to = length + length[to], to[to]
+    length += 1
+    start = np.cumsum(length) - length
+    owner = np.repeat(number, length)
+    at = np.arange(len(owner))
+    source = start[source][owner] + at - start[owner]
+    while True:
+        further = source[source]
+        if (further == source).all():
+            break
+        source = further
+    return codes[owner[source]].astype(np.uint8)
+
+
 def lzw(data: bytes, least: int, wanted: int) -> np.ndarray:
     """The first ``wanted`` samples of a GIF code stream with ``least`` bits per sample."""
     clear, end = 1 << least, (1 << least) + 1
-    base = [bytes([i]) for i in range(clear)] + [b"", b""]
-    bits = np.concatenate((np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little"), np.zeros(12, np.uint8)))
-    total, place = len(bits) - 12, np.arange(12)
-    out: list[bytes] = []
-    table, previous, made, at, number = list(base), b"", 0, 0, 0
+    raw = np.frombuffer(data + b"\0\0", np.uint8).astype(np.int32)
+    wide, total = raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16, 8 * len(data)  # 24 bits from each byte on hold any code that begins in it
+    done: list[np.ndarray] = []
+    parts: list[np.ndarray] = []
+    made = at = number = 0
     while at < total and made < wanted:
         widths = code_widths(least, min(number, _MOST), _MOST)[: (total - at) // (least + 1)]
         offsets = at + np.cumsum(widths) - widths
@@ -123,28 +152,22 @@ def lzw(data: bytes, least: int, wanted: int) -> np.ndarray:
         if not n:
             break
         widths, offsets = widths[:n], offsets[:n]
-        codes = (bits[offsets[:, None] + place].astype(np.int64) * (place < widths[:, None]) << place).sum(axis=1)
+        codes = (wide[offsets >> 3] >> (offsets & 7)) & ((1 << widths) - 1)
         stop = np.flatnonzero((codes == clear) | (codes == end))
         n = int(stop[0]) if len(stop) else n
-        for code in codes[:n].tolist():
-            if code < len(table):
-                entry = table[code]
-            elif code == len(table) and previous:
-                entry = previous + previous[:1]
-            else:
-                raise ValueError("damaged code stream")
-            if previous and len(table) < _MOST:
-                table.append(previous + entry[:1])
-            out.append(entry)
-            previous = entry
-        made += sum(map(len, out[len(out) - n :]))
+        parts.append(codes[:n])
         if len(stop):
+            done.append(expand(np.concatenate(parts), clear + 2))
+            made += len(done[-1])
             if codes[n] == end:
+                parts = []
                 break
-            at, number, table, previous = int(offsets[n] + widths[n]), 0, list(base), b""
+            at, number, parts = int(offsets[n] + widths[n]), 0, []
         else:
             at, number = int(offsets[-1] + widths[-1]), number + n
-    return np.frombuffer(b"".join(out)[:wanted], np.uint8)
+    if parts and made < wanted:
+        done.append(expand(np.concatenate(parts), clear + 2))
+    return np.concatenate([np.zeros(0, np.uint8), *done])[:wanted]
 
 
 @dataclass
@@ -222,9 +245,10 @@ def decode(data: bytes) -> Iterator[Frame]:
 
 def histogram(rgba: np.ndarray) -> np.ndarray:
     """Counts of the shown pixels by two bits of red, green and blue each."""
-    pixels = rgba.reshape(-1, 4).astype(np.int64)
-    pixels = pixels[pixels[:, 3] > 0] >> 6
-    return np.bincount(pixels[:, 0] << 4 | pixels[:, 1] << 2 | pixels[:, 2], minlength=64)
+    high = rgba.reshape(-1, 4) >> 6
+    ranges = high[:, 0] << 4 | high[:, 1] << 2 | high[:, 2]
+    shown = rgba.reshape(-1, 4)[:, 3] > 0
+    return np.bincount(ranges if shown.all() else ranges[shown], minlength=64)
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:

@@ -75,6 +75,14 @@ def test_written_streams_are_those_of_a_plain_encoder(n):
         assert (gif.lzw(got, 8, n) == samples).all() and len(gif.lzw(got, 8, 10)) == 10
 
 
+def test_damaged_streams_are_an_error():
+    good = np.array([1, 258, 259, 2, 3])  # a code may name the entry that it completes, but none behind it
+    assert gif.expand(good, 258).tolist() == [1, 1, 1, 1, 1, 1, 2, 3]
+    for bad in ([258], [1, 259], [1, 2, 300]):
+        with pytest.raises(ValueError):
+            gif.expand(np.array(bad), 258)
+
+
 def test_full_table_without_a_clear_code():
     samples = np.random.default_rng(4).integers(0, 4, 60000).astype(np.uint8)
     clear, width, following, table, word, bits, n, out = 4, 3, 6, {bytes([i]): i for i in range(4)}, b"", 0, 0, bytearray()
