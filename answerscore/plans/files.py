@@ -123,13 +123,13 @@ def _ledger_json() -> str:
     return json.dumps(rows, indent=2)
 
 
-_FLAT = [F.col("metrics.margin").alias("margin"), F.col("metrics.wins").alias("wins"), F.col("metrics.spearman").alias("spearman"), F.col("metrics.family.margin").alias("family")]
+_FLAT = ("metrics.margin", "metrics.wins", "metrics.spearman", "metrics.family.margin as family")
 _SQL_REGISTERED = f"SELECT intent, profile, hash, CAST(size AS INTEGER) AS size, margin, wins, spearman, family FROM {_values(_REGISTERED, 'intent, profile, hash, size, margin, wins, spearman, family')}"
 
 
 @query(_SQL_REGISTERED)
 def read_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.read_ledger(spark, _written(spark, _ledger_json(), "ledger")).select("intent", "profile", "hash", "size", *_FLAT)
+    return files.read_ledger(spark, _written(spark, _ledger_json(), "ledger")).selectExpr("intent", "profile", "hash", "size", *_FLAT)
 
 
 @query(f"SELECT intent, size FROM ({_SQL_REGISTERED}) WHERE hash <> 'h1'")

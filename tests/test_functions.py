@@ -80,3 +80,29 @@ def test_blank_and_normalised(spark):
 def test_json_in_prose(spark):
     got = values(spark, ['Here: ["a", " ", "b"] done', "```json\n{}\n```"], T.json_array_in(F.col("s")), T.unfenced(F.col("s")))
     assert got[0][0] == ["a", "b"] and got[1][1] == "{}"
+
+
+def test_tie_sources_that_are_not_there(spark):
+    from dataclasses import replace
+
+    from answerscore.config import LEXICAL, grid
+    from answerscore.functions.calibration import calibrated
+    from answerscore.operators.score import score
+    from pyspark.sql import functions as F
+
+    with pytest.raises(ValueError):
+        calibrated(F.lit(0.5), replace(LEXICAL, step_t=0.5, tie_src=9))
+    with pytest.raises(ValueError):
+        calibrated(F.lit(0.5), replace(LEXICAL, step_t=0.5, tie_src=4))
+    with pytest.raises(ValueError):
+        score(spark.createDataFrame([("1", "q", "a b", "a c")], "id string, q string, gt string, a string"), replace(LEXICAL, w_emb=0.5))
+    assert len(grid(LEXICAL, m_negcov=[0.1, 0.2, 0.3], limit=2)) == 2 and not grid(LEXICAL, w_lex=[0.5], w_gram3=[0.1])
+
+
+def test_soft_budget(spark):
+    from answerscore.operators.features import precision
+
+    rows = [("x", "a", i, 10_000, None, False, i == 1) for i in range(6)]
+    marked = spark.createDataFrame(rows, "id string, side string, pos int, w long, at_other int, hit boolean, in_q boolean")
+    soft = spark.createDataFrame([("x", "a", i, 0.5) for i in range(6)], "id string, side string, pos int, credit double")
+    assert [precision(marked, soft, n).first()["p_hit"] for n in (512, 2, 0)] == [2.5, 1.0, 0.0]

@@ -7,6 +7,7 @@ import json
 import numpy as np
 import pytest
 
+from answerscore.functions.keccak import keccak_hex
 from answerscore.operators import encoder
 from answerscore.sources import files, vectors
 from answerscore.streaming import status
@@ -36,6 +37,16 @@ def test_cached_scores_and_dumps(spark, tmp_path):
     assert got == {"b:x:good": ("lex", "b", "x", "good", None, None), "t:4": ("lex", None, None, None, None, 4), "NEWS|007": ("lex", None, None, None, "NEWS", 7)}
 
 
+def test_cached_scores_over_several_lines(spark, tmp_path):
+    (tmp_path / "s.json").write_text("[0.5,\n 0.25,\n 1]\n")
+    assert [r["score"] for r in files.read_cached_scores(spark, str(tmp_path / "s.json"), 3).collect()] == [0.5, 0.25, 1.0]
+
+
+def test_registry_hash():
+    assert keccak_hex(b"") == "0xc5d2460186f7233c927e7db2dcc703c0e500b653ca82273b7bfad8045d85a470"
+    assert len({keccak_hex(b"x" * n) for n in (134, 135, 136, 137, 300)}) == 5
+
+
 def test_append_new_skips_what_is_there(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1), ("b", 2)], "q string, n int")
     path = str(tmp_path / "corpus")
