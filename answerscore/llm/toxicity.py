@@ -7,10 +7,12 @@ Characters fall into 63 classes (letters and digits have their own).
 
 Instances are the words of a text with all but letters and digits removed, and runs of three or more single
 characters joined; a text is as toxic as its worst instance.  Labels are per text, so training alternates (multiple
-instances): each toxic text names its worst instance as positive, clean texts name their worst ones as negatives,
-landmarks are drawn from both, instances are mapped by K(x, landmarks) K(landmarks)^(-1/2), and a linear SVM is
-fitted by stochastic subgradients.  A logistic curve through the texts' values gives the score.  At most ``SAMPLE``
-labelled rows of each class are used.  The machine is linear in phi, so it is applied as one table of triples.
+instances): toxic texts name as positives the instances whose surplus over chance in toxic texts is above ``SURPLUS``
+deviations and half of the largest surplus (above 0 if no surplus is that clear) and, from the second round on, their
+worst instance if the machine takes it as positive; clean texts name their worst ones as negatives.  Landmarks are
+drawn from both, instances are mapped by K(x, landmarks) K(landmarks)^(-1/2), and a linear SVM is fitted by stochastic
+subgradients.  A logistic curve through the texts' values gives the score.  At most ``SAMPLE`` labelled rows of each
+class are used.  The machine is linear in phi, so it is applied as one table of triples.
 
 Defined results: null, empty and symbol-only texts get the score of an instance without likeness to anything;
 texts are read whole, words longer than 32 characters in overlapping pieces; repeated rows score alike; without
@@ -32,6 +34,7 @@ from .common import fit_in_task, labelled_sample
 SAMPLE = 1500
 DECAY, SPAN, CLASSES = 0.5, 6, 64
 LANDMARKS, ROUNDS = 128, 3
+SURPLUS = 4.0  # deviations
 THRESHOLD = 0.7
 _LONGEST, _CACHE_LIMIT = 32, 300_000
 _GAPS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
@@ -168,30 +171,36 @@ def train(rows: list[tuple[str, int]], counts: dict[int, int], seed: int = 11) -
     words = sorted({w for bag in bags for w in bag})
     number = {w: i for i, w in enumerate(words)}
     bags = [np.array([number[w] for w in bag], np.int64) for bag in bags]
-    # To begin with: triples seen in more toxic than clean texts.
-    seen = np.zeros((2, CLASSES**3), np.int32)
+    # To begin with: how many deviations more toxic texts hold an instance than chance would give them.
+    seen = np.zeros((2, len(words)))
     for bag, y in zip(bags, ys):
-        seen[y, np.unique(triples([words[i] for i in bag])[1])] += 1
-    share = (seen + 0.5) / (np.bincount(ys, minlength=2)[:, None] + 1.0)
-    table = np.log(share[1] / share[0]).astype(np.float32)
-    rng = np.random.default_rng(seed)
+        seen[y, bag] += 1
+    expected = seen.sum(axis=0) * (ys.sum() / len(ys))
+    surplus = (seen[1] - expected) / np.sqrt(np.maximum(expected * (1 - ys.sum() / len(ys)), 1e-9))
+    strongest = surplus.max(initial=0.0)
+    floor = max(SURPLUS, strongest / 2) if strongest > SURPLUS else 0.0  # few labelled rows show no clear surplus
+    table = np.zeros(CLASSES**3, np.float32)
+    offset, rng = 0.0, np.random.default_rng(seed)
 
     def values(table: np.ndarray) -> np.ndarray:
         return np.concatenate([np.zeros(0), *(decide(words[i : i + 20000], table) for i in range(0, len(words), 20000))])
 
     for step in range(ROUNDS):
-        value = values(table)
+        value = values(table) if step else surplus
         good, bad = {}, {}
         for bag, y in zip(bags, ys):
             if len(bag):
                 worst = bag[np.argsort(-value[bag], kind="stable")[: 1 if y else 3]]
-                for i in worst:
+                if y:  # a text may hold several insults; one without any above the floor names none
+                    worst = np.union1d(worst[value[worst] > (-offset if step else floor)], bag[surplus[bag] > floor])
+                for i in worst.tolist():
                     (good if y else bad)[i] = (good if y else bad).get(i, 0) + 1
-        for i in set(good) & set(bad):  # a word of clean texts is no insult
-            del good[i]
+        for i in set(good) & set(bad):  # a few clean texts may quote an insult; else a word of theirs is none
+            del (bad if surplus[i] > floor else good)[i]
         clean = np.unique(np.concatenate([np.zeros(0, np.int64), *(b for b, y in zip(bags, ys) if not y)]))
         for i in rng.choice(clean, min(len(clean), 3000), replace=False).tolist():
-            bad.setdefault(i, 1)
+            if i not in good:
+                bad.setdefault(i, 1)
         if not good or not bad:
             break
         pos, neg = sorted(good, key=lambda i: (-good[i], i)), sorted(bad, key=lambda i: (-value[i], i))
