@@ -6,11 +6,14 @@ characters inserted into a word, or left out of it, lower the likeness a little
 Characters fall into 63 classes (letters and digits have their own).
 
 Instances are the words of a text with all but letters and digits removed, and runs of three or more single
-characters joined; a text is as toxic as its worst instance.  Labels are per text, so training alternates (multiple
-instances): each toxic text names its worst instance as positive, clean texts name their worst ones as negatives,
-landmarks are drawn from both, instances are mapped by K(x, landmarks) K(landmarks)^(-1/2), and a linear SVM is
-fitted by stochastic subgradients.  A logistic curve through the texts' values gives the score.  At most ``SAMPLE``
-labelled rows of each class are used.  The machine is linear in phi, so it is applied as one table of triples.
+characters joined, between marks of their ends; a text is as toxic as its worst instance.  Labels are per text, so
+training alternates (multiple instances).  A word may be an insult if toxic texts hold it more often than clean ones
+and, for it or a run of its characters, the lower bound of the log-odds is above ``EVIDENCE``: each toxic text names
+such words among its three worst as positives, each clean text its three worst ones as negatives (besides words drawn
+from clean texts), weighted by the texts that hold them.  Landmarks are drawn from both, instances are mapped by
+K(x, landmarks) K(landmarks)^(-1/2), and a linear SVM is fitted by dual coordinate descent.  The shares of toxic
+texts by value among texts kept apart (``APART``), made to rise only, give the score.  At most ``SAMPLE`` labelled rows of each class are used.  The machine is
+linear in phi, so it is applied as one table of triples.
 
 Defined results: null, empty and symbol-only texts get the score of an instance without likeness to anything;
 texts are read whole, words longer than 32 characters in overlapping pieces; repeated rows score alike; without
@@ -19,7 +22,6 @@ labels of both classes all scores are the smoothed share of toxic labels; empty
 
 from __future__ import annotations
 
-import math
 import re
 
 import numpy as np
@@ -31,13 +33,22 @@ from .common import fit_in_task, labelled_sample
 
 SAMPLE = 1500
 DECAY, SPAN, CLASSES = 0.5, 6, 64
-LANDMARKS, ROUNDS = 128, 3
+LANDMARKS, ROUNDS = 256, 2
+COST, SWEEPS, APART = 10.0, 60, 0.3
+EVIDENCE, DEVIATIONS, RUNS = 1.0, 2.0, (5, 6, 7)
 THRESHOLD = 0.7
+END = "_"  # marks both ends of an instance
 _LONGEST, _CACHE_LIMIT = 32, 300_000
 _GAPS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 _SYMBOLS = re.compile(r"[\W_]+")
 
 
+def _pieces(word: str) -> list[str]:
+    """Overlapping pieces of a long word between marks of its ends."""
+    word = f"{END}{word}{END}"
+    return [word[i : i + _LONGEST] for i in range(0, len(word), _LONGEST // 2)]
+
+
 def instances(text: str | None) -> set[str]:
     """The distinct strings of a text that are scored."""
     words = (text or "").lower().split()
@@ -47,9 +58,9 @@ def instances(text: str | None) -> set[str]:
         if not w.isalnum():
             w = _SYMBOLS.sub("", w)
         if len(w) > _LONGEST:
-            out.update(w[i : i + _LONGEST] for i in range(0, len(w), _LONGEST // 2))
+            out.update(_pieces(w))
         elif len(w) >= 3:
-            out.add(w)
+            out.add(f"{END}{w}{END}")
     run: list[str] = []
     if any(len(w) == 1 for w in found):
         for w in [*words, ".."]:
@@ -57,8 +68,7 @@ def instances(text: str | None) -> set[str]:
                 run.append(w)
                 continue
             if len(run) >= 3:
-                joined = "".join(run)
-                out.update(joined[i : i + _LONGEST] for i in range(0, len(joined), _LONGEST // 2))
+                out.update(_pieces("".join(run)))
             run = []
     return out
 
@@ -136,107 +146,129 @@ def decide(words: list[str], table: np.ndarray) -> np.ndarray:
             top += w * np.where(z > 0, table[place], 0).sum(axis=1)
             square += w * w * (z > 0).sum(axis=1)
         value[part] = top / np.sqrt(np.maximum(square, 1e-12))
-    high = np.flatnonzero(value > 0)  # words with repeated triples have a longer phi than assumed above
-    if len(high):
-        row, col, weight = unit_triples([words[i] for i in high])
-        value[high] = np.bincount(row, weight * table[col], len(high))
+    again = [i for i, w in enumerate(words) if len(set(w)) < len(w)]  # only these can hold a triple twice, so that its weights add up
+    for at in range(0, len(again), 5000):
+        part = again[at : at + 5000]
+        row, col, weight = unit_triples([words[i] for i in part])
+        value[part] = np.bincount(row, weight * table[col], len(part))
     return value
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, seed: int, penalty: float = 1e-3, steps: int = 60) -> tuple[np.ndarray, float]:
-    """Linear hinge-loss machine by averaged stochastic subgradients (Pegasos steps over shuffled batches)."""
-    rng, w, total, t = np.random.default_rng(seed), np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1), 0
-    x = np.hstack([x, np.ones((len(x), 1))])
-    for epoch in range(steps):
-        order = rng.permutation(len(x))
-        for at in range(0, len(x), 64):
-            i = order[at : at + 64]
-            t += 1
-            inside = y[i] * (x[i] @ w) < 1
-            step = 1 / (penalty * (t + 100))
-            w = (1 - step * penalty) * w + step * ((weight[i] * y[i])[inside] @ x[i][inside]) / len(i)
-        if epoch >= steps // 2:
-            total += w
-    w = total / (steps - steps // 2)
-    return w[:-1], float(w[-1])
-
-
-def train(rows: list[tuple[str, int]], counts: dict[int, int], seed: int = 11) -> tuple[np.ndarray, float, float]:
-    """(table, slope, offset): log-odds of a text are slope * (its largest value) + offset."""
-    texts = sorted({(t, y) for t, y in rows})
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, seed: int) -> np.ndarray:
+    """Linear hinge-loss machine, ``COST * weight`` a row, by coordinate descent in the dual; the last column's offset is left out."""
+    rng, x = np.random.default_rng(seed), np.hstack([x, np.ones((len(x), 1))])
+    w, alpha = np.zeros(x.shape[1]), np.zeros(len(x))
+    square, most = (x * x).sum(axis=1), COST * weight
+    active = np.arange(len(x))
+    for sweep in range(SWEEPS):
+        for i in rng.permutation(active).tolist():
+            new = min(max(alpha[i] + (1 - y[i] * (w @ x[i])) / square[i], 0.0), most[i])
+            if new != alpha[i]:
+                w += (new - alpha[i]) * y[i] * x[i]
+                alpha[i] = new
+        # Every fifth sweep goes over all rows, those between over the rows that bear on the margin.
+        active = np.arange(len(x)) if sweep % 5 == 3 else np.flatnonzero((alpha > 0) | (y * (x @ w) < 1))
+    return w[:-1]
+
+
+def _excess(words: list[str], bags: list[np.ndarray], ys: np.ndarray) -> np.ndarray:
+    """For each word the largest lower bound (``DEVIATIONS``) of the log-odds that a text with one of its runs is toxic.
+
+    Runs are the word itself and its stretches of ``RUNS`` characters; odds are against those of any text.
+    """
+    number: dict[str, int] = {}
+    runs = [np.array(sorted({number.setdefault(w[i : i + n], len(number)) for n in RUNS for i in range(len(w) - n + 1)} | {number.setdefault(w, len(number))})) for w in words]
+    seen = np.zeros((2, len(number)))
+    for bag, y in zip(bags, ys):
+        if len(bag):
+            seen[y, np.unique(np.concatenate([runs[i] for i in bag]))] += 1
+    total = np.bincount(ys, minlength=2)[:, None]
+    odds = np.log((seen[1] + 0.5) / (seen[0] + 0.5)) - np.log((total[1] + 1.0) / (total[0] + 1.0))
+    low = odds - DEVIATIONS * np.sqrt(1 / (seen[1] + 0.5) + 1 / (seen[0] + 0.5))
+    return np.array([low[r].max() for r in runs])
+
+
+def _machine(texts: list[tuple[str, int]], rng: np.random.Generator, seed: int) -> np.ndarray:
+    """The table of triples of the machine learned from (text, label) pairs."""
     bags, ys = [sorted(instances(t)) for t, _ in texts], np.array([y for _, y in texts])
     words = sorted({w for bag in bags for w in bag})
     number = {w: i for i, w in enumerate(words)}
     bags = [np.array([number[w] for w in bag], np.int64) for bag in bags]
-    # To begin with: triples seen in more toxic than clean texts.
-    seen = np.zeros((2, CLASSES**3), np.int32)
+    # To begin with: how surely toxic texts hold a run of characters of the word more often than clean ones.
+    seen = np.zeros((2, len(words)))
     for bag, y in zip(bags, ys):
-        seen[y, np.unique(triples([words[i] for i in bag])[1])] += 1
-    share = (seen + 0.5) / (np.bincount(ys, minlength=2)[:, None] + 1.0)
-    table = np.log(share[1] / share[0]).astype(np.float32)
-    rng = np.random.default_rng(seed)
+        seen[y, bag] += 1
+    value = _excess(words, bags, ys)
+    insult = (value > min(EVIDENCE, value.max(initial=0.0) / 2)) & (seen[1] > seen[0])
+    clean = np.flatnonzero(seen[0])
 
     def values(table: np.ndarray) -> np.ndarray:
         return np.concatenate([np.zeros(0), *(decide(words[i : i + 20000], table) for i in range(0, len(words), 20000))])
 
+    table = np.zeros(CLASSES**3, np.float32)
     for step in range(ROUNDS):
-        value = values(table)
-        good, bad = {}, {}
+        value = values(table) if step else value
+        good, bad = np.zeros(len(words)), np.zeros(len(words))
         for bag, y in zip(bags, ys):
-            if len(bag):
-                worst = bag[np.argsort(-value[bag], kind="stable")[: 1 if y else 3]]
-                for i in worst:
-                    (good if y else bad)[i] = (good if y else bad).get(i, 0) + 1
-        for i in set(good) & set(bad):  # a word of clean texts is no insult
-            del good[i]
-        clean = np.unique(np.concatenate([np.zeros(0, np.int64), *(b for b, y in zip(bags, ys) if not y)]))
-        for i in rng.choice(clean, min(len(clean), 3000), replace=False).tolist():
-            bad.setdefault(i, 1)
-        if not good or not bad:
+            worst = bag[np.argsort(-value[bag], kind="stable")[:3]]
+            if y:  # a text may hold several insults; one without any names none
+                worst = worst[insult[worst]]
+            (good if y else bad)[worst] = 1
+        pos = np.flatnonzero(good)
+        bad[rng.choice(clean, min(len(clean), 3000), replace=False)] = 1
+        neg = np.flatnonzero((bad > 0) & (seen[0] > 0))  # a word of both kinds of texts counts on both sides
+        if not len(pos) or not len(neg):
             break
-        pos, neg = sorted(good, key=lambda i: (-good[i], i)), sorted(bad, key=lambda i: (-value[i], i))
-        marks = [words[i] for i in pos[: LANDMARKS * 3 // 4]]
-        marks += [words[i] for i in neg[: LANDMARKS - len(marks)]]
+        pos, neg = pos[np.argsort(-seen[1, pos], kind="stable")], neg[np.argsort(-value[neg], kind="stable")]
+        marks = [words[i] for i in dict.fromkeys([*pos[: LANDMARKS * 3 // 4].tolist(), *neg[:LANDMARKS].tolist()])][:LANDMARKS]
         around = kernel(marks, marks)
         vals, vecs = np.linalg.eigh(around)
         root = (vecs / np.sqrt(np.maximum(vals, 1e-6))) @ vecs.T  # K(landmarks)^(-1/2)
-        use = pos + neg
-        x = kernel([words[i] for i in use], marks) @ root
-        y = np.array([1.0] * len(pos) + [-1.0] * len(neg))
-        weight = np.array([min(good[i], 5) for i in pos] + [min(bad[i], 5) for i in neg], float)
-        weight[y > 0] *= len(x) / 2 / weight[y > 0].sum()
-        weight[y < 0] *= len(x) / 2 / weight[y < 0].sum()
-        w, offset = _svm(x, y, weight, seed)
+        x = kernel([words[i] for i in np.concatenate([pos, neg])], marks) @ root
+        y = np.repeat([1.0, -1.0], [len(pos), len(neg)])
+        weight = np.concatenate([seen[1, pos], seen[0, neg]])
+        w = _svm(x, y, weight, seed)
         row, col, size = unit_triples(marks)
         table = np.bincount(col, size * (root @ w)[row], CLASSES**3).astype(np.float32)
-    value = values(table)
-    top = np.array([value[b].max() if len(b) else 0.0 for b in bags])
-    # A logistic curve through the texts' values, weighted to the class counts of all labelled rows.
+    return table
+
+
+def train(rows: list[tuple[str, int]], counts: dict[int, int], seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(table, values, shares): a text's probability is read from the line through (values, shares) at its largest value."""
+    texts = sorted({(t, y) for t, y in rows})
+    rng = np.random.default_rng(seed)
+    apart = rng.random(len(texts)) < APART
+    ys = np.array([y for _, y in texts])
+    if len(set(ys[apart].tolist())) < 2 or len(set(ys[~apart].tolist())) < 2:  # too few texts: the same ones serve both
+        learned = judged = range(len(texts))
+    else:
+        learned, judged = np.flatnonzero(~apart).tolist(), np.flatnonzero(apart).tolist()
+    table = _machine([texts[i] for i in learned], rng, seed)
+    bags, ys = [sorted(instances(texts[i][0])) for i in judged], ys[list(judged)]
+    top = np.array([decide(b, table).max() if b else 0.0 for b in bags])
+    # Shares of toxic texts by value, rising only (pooled neighbours), weighted to the class counts of all labelled rows.
     share = np.bincount(ys, minlength=2) / np.array([max(1, counts.get(c, 0)) for c in (0, 1)])
     weight = 1 / share[ys]
-    weight /= weight.sum()
-    slope, shift = 1.0, 0.0
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(slope * top + shift, -50, 50)))
-        g = np.array([(weight * (p - ys) * top).sum() + 1e-5 * slope, (weight * (p - ys)).sum()])
-        q = weight * p * (1 - p)
-        h = np.array([[(q * top * top).sum() + 1e-5, (q * top).sum()], [(q * top).sum(), q.sum() + 1e-9]])
-        move = np.linalg.solve(h, g)
-        move *= min(1.0, 3.0 / np.abs(move).max())
-        slope, shift = slope - move[0], shift - move[1]
-        if np.abs(move).max() < 1e-7:
-            break
-    return table, float(slope), float(shift)
+    weight *= len(ys) / weight.sum()
+    blocks: list[list[float]] = []  # rows, toxic rows, least and largest value
+    for at in np.unique(top):
+        here = top == at
+        blocks.append([weight[here].sum(), weight[here & (ys == 1)].sum(), at, at])
+        while len(blocks) > 1 and blocks[-1][1] * blocks[-2][0] <= blocks[-2][1] * blocks[-1][0]:
+            last = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + last[0], blocks[-1][1] + last[1], blocks[-1][2], last[3]]
+    n, bad, least, most = np.array(blocks).T
+    return table, np.column_stack([least, most]).ravel(), np.repeat(np.maximum.accumulate((bad + 0.5) / (n + 1)), 2)
 
 
 def fit(docs: DataFrame, labels: DataFrame, exclude: Column, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text"):
     """The machine learned from labelled rows where ``exclude`` (over ``__id``) is false; trained in one executor task."""
     rows, counts = labelled_sample(docs, labels, "toxic", exclude, sample, id_col, text_col)
 
-    def learn(rows: list[tuple[str, int]]) -> tuple[np.ndarray, float, float]:
+    def learn(rows: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if len({y for _, y in rows}) < 2:
-            odds = (counts.get(1, 0) + 0.5) / (counts.get(0, 0) + 0.5)
-            return np.zeros(CLASSES**3, np.float32), 0.0, math.log(odds)
+            share = (counts.get(1, 0) + 0.5) / (counts.get(0, 0) + counts.get(1, 0) + 1)
+            return np.zeros(CLASSES**3, np.float32), np.zeros(1), np.array([share])
         return train(rows, counts)
 
     return fit_in_task(rows, learn)
@@ -244,7 +276,7 @@ def fit(docs: DataFrame, labels: DataFrame, exclude: Column, sample: int = SAMPL
 
 def score_column(model, text_col: str = "text") -> Column:
     """Probability that a whole text is toxic."""
-    table, slope, shift = model
+    table, values, shares = model
 
     @F.pandas_udf("double")
     def toxicity(texts: pd.Series) -> pd.Series:
@@ -258,7 +290,7 @@ def score_column(model, text_col: str = "text") -> Column:
                 new = list(set().union(*bags))
             known.update(zip(new, decide(new, table).tolist()))
             top = np.array([max(map(known.__getitem__, bag), default=0.0) for bag in bags])
-            out[at : at + len(bags)] = 1 / (1 + np.exp(-np.clip(slope * top + shift, -700, 700)))
+            out[at : at + len(bags)] = np.interp(top, values, shares)
         return pd.Series(out)
 
     return toxicity(F.col(text_col))

@@ -62,6 +62,26 @@ def test_toxicity_and_inserted_characters(spark):
     assert got[900] == got[901] and all(0 <= p <= 1 for p in got.values())
 
 
+def test_toxicity_of_stems_and_wrong_labels():
+    rng, rows = random.Random(5), []
+    for i in range(600):
+        words = [rng.choice(WORDS) + rng.choice(["", "s", "ly"]) for _ in range(rng.randint(15, 60))]
+        label = int(i % 4 == 0)
+        if label and i % 40:  # one toxic label in ten is wrong
+            words[3] = "zickwad" + rng.choice(["er", "en", "tz", "ung", "pf", "lich"])
+        elif not label and i % 10 == 1:  # the stem alone is no insult
+            words[3] = "zickwad"
+        rows.append((" ".join(words), label))
+    table, values, shares = toxicity.train(rows[:400], {0: 300, 1: 100})
+    assert (np.diff(values) >= 0).all() and (np.diff(shares) >= 0).all()
+
+    def score(text):
+        return float(np.interp(toxicity.decide(sorted(toxicity.instances(text)), table).max(), values, shares))
+
+    held = [(score(text) >= 0.7, "zickwad" in text and "zickwad " not in text + " ") for text, _ in rows[400:]]
+    assert np.mean([p for p, y in held if y]) >= 0.9 and np.mean([p for p, y in held if not y]) <= 0.02
+
+
 @pytest.mark.parametrize("module, column", [(quality, "quality"), (toxicity, "toxic")])
 def test_without_labels_of_both_classes(spark, module, column):
     docs = spark.createDataFrame([(1, "a text"), (2, None)], "doc_id long, text string")
