@@ -82,3 +82,17 @@ def test_bench_queries_read_whole_texts(spark, tmp_path, name):
     assert mine.keys() == theirs.keys()
     for key, row in theirs.items():
         assert mine[key] == {c: v if c == "id" else pytest.approx(float(v), abs=2e-6) for c, v in row.items()}
+
+
+@pytest.mark.parametrize("name", BENCH)
+def test_bench_queries_neither_write_tokens_nor_shuffle_documents(spark, monkeypatch, name):
+    def written(df, table):
+        raise AssertionError(f"{table} is written")
+
+    for module in ("features", "score"):
+        monkeypatch.setattr(f"answerscore.operators.{module}.materialised", written)
+    monkeypatch.setattr("answerscore.plans.scoring.materialised", written)
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    above = plan[: plan.index("MapInArrow")]
+    assert "Join" not in above and "Aggregate" not in above and "Window" not in above
