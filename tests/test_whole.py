@@ -13,6 +13,7 @@ import pytest
 
 from answerscore.operators import features as FE
 from answerscore.operators import whole
+from answerscore.operators.score import score, score_whole
 from answerscore.plans import inputs as I
 from answerscore.plans import registry
 
@@ -21,7 +22,7 @@ from .conftest import SF
 PIECES = """the The not no No US USA United States Unions of America NAA National Aeronautics Agency AB 3.1 3,100 3.1M 3 m 5k k billion Million 2.6
 two Seven ten one 1,250.75 0 1 22C 22 rise rose fell yes true false fake real open runs passed classes boxes quickly é über Málaga 5é é5 1.2.3 1..2
 4,a . , ; ! ? : - thousand 1e5 10T tn 12mn K ZZ ABC Able Baker Charlie x Is valid 1000000 1,000,000 1005 日本 🙂 unable don't""".split()
-BENCH = ("lex_fbeta_bench",)
+BENCH = ("lex_fbeta_bench", "score_bench")
 
 
 def random_triples(seed: int, n: int) -> list[tuple]:
@@ -44,6 +45,15 @@ def test_features_equal_those_of_token_rows(spark):
     for key, row in rows.items():
         for c in whole.ALL:
             assert mine[key][c] == pytest.approx(row[c], abs=1e-9), (key, c)
+    theirs = {r["id"]: r["score"] for r in score(triples).collect()}
+    assert {r["id"]: r["score"] for r in score_whole(triples).collect()} == pytest.approx(theirs, abs=1e-9)
+
+
+def test_nulls_blanks_and_texts_without_tokens(spark):
+    rows = [("a", None, None, None), ("b", "q", "gt", " \t"), ("c", None, "same text", "Same text!"), ("d", "q", "!!", "??"), ("e", "q", "gt", "..."), ("f", "q", "", "gt")]
+    triples = spark.createDataFrame(rows, "id string, q string, gt string, a string")
+    assert {r["id"]: r["score"] for r in score_whole(triples).collect()} == {"a": 0.0, "b": 0.0, "c": 1.0, "d": 1.0, "e": 0.0, "f": 0.0}
+    assert score_whole(triples.limit(0)).count() == 0
 
 
 def test_long_texts_are_split_the_same_in_pieces(monkeypatch):
