@@ -5,15 +5,19 @@ from __future__ import annotations
 import glob
 import os
 import random
+import re
 
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from pyspark.sql import functions as F
+
+from answerscore.functions import text as T
 from answerscore.operators import features as FE
 from answerscore.operators import whole
-from answerscore.operators.score import score, score_whole
+from answerscore.operators.score import guards, score, score_whole
 from answerscore.plans import inputs as I
 from answerscore.plans import registry
 
@@ -106,3 +110,29 @@ def test_bench_queries_neither_write_tokens_nor_shuffle_documents(spark, monkeyp
     assert plan.count("MapInArrow") == 1
     above = plan[: plan.index("MapInArrow")]
     assert "Join" not in above and "Aggregate" not in above and "Window" not in above
+
+
+def test_whole_texts_are_compared_only_if_their_beginnings_agree(spark, monkeypatch):
+    rows = [("a", "The Danube flows.", "the " * 50_000), ("b", "A", "b"), ("c", "é", "e")]
+    triples = spark.createDataFrame(rows, "id string, gt string, a string")
+    monkeypatch.setattr(T, "normalised", lambda s: F.when(F.length(s) > 0, F.raise_error(F.lit("normalised")).cast("string")))
+    assert [r["guard"] for r in guards(triples).collect()] == [None] * 3
+    with pytest.raises(Exception, match="normalised"):
+        guards(triples.withColumn("a", F.upper("gt"))).collect()
+
+
+def test_guard_of_equal_texts(spark):
+    r = random.Random(3)
+    plain = lambda s: re.sub(r"(?<![0-9])[.,]|[.,](?![0-9])|[\x00-+\-/:-@\[-`{-\x7f]+", "", s).translate({c: c + 32 for c in range(65, 91)})
+    rows = []
+    for i in range(600):
+        gt = "".join(r.choice("aAbé1 2.,-日\n") for _ in range(r.choice((1, 3, 70, 200)))) + "x"
+        a = "".join(c.swapcase() if c.isascii() and r.random() < 0.5 else c for c in gt).replace(" ", r.choice((" ", " -" * 40)))
+        if i % 3 == 0:
+            spot = r.randrange(len(a))
+            a = a[:spot] + r.choice("b.,1é ") + a[spot + 1 :]
+        rows.append((str(i), "- " * r.choice((0, 0, 50)) + gt, a))
+    found = {x["id"]: x["guard"] for x in guards(spark.createDataFrame(rows, "id string, gt string, a string")).collect()}
+    equal = {key: 0.0 if not a.strip() else 1.0 if plain(gt) == plain(a) else None for key, gt, a in rows}
+    assert found == equal
+    assert 100 < sum(x is None for x in equal.values()) < 500
